@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import url_filter
+from tidemark.llm import decontaminate, url_filter
 
-QUERIES: dict = {"op9_url_filter": url_filter.query}
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": url_filter.ORACLE_SQL}
+QUERIES: dict = {"op6_decontaminate": decontaminate.digest_query, "op9_url_filter": url_filter.query}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, url_filter
+from tidemark.llm import decontaminate, license_scan, quality_rules, url_filter
 
-QUERIES: dict = {"op6_decontaminate": decontaminate.digest_query, "op9_url_filter": url_filter.query}
+QUERIES: dict = {
+    "op1_quality_rules": quality_rules.query,
+    "op6_decontaminate": decontaminate.digest_query,
+    "op7_license_scan": license_scan.query,
+    "op9_url_filter": url_filter.query,
+}
 ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}

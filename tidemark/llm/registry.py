@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, license_scan, quality_rules, secret_scan, url_filter
+from tidemark.llm import decontaminate, license_scan, near_dedup, quality_rules, secret_scan, url_filter
 
 QUERIES: dict = {
     "op1_quality_rules": quality_rules.query,
+    "op4_near_dedup": near_dedup.query,
     "op5_secret_scan": secret_scan.query,
     "op6_decontaminate": decontaminate.digest_query,
     "op7_license_scan": license_scan.query,

@@ -204,10 +204,14 @@ def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
     yield block
 
 
-def contaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row for each document: n_words, n_hit, n_items, items_sha256, contaminated and the sorted item ids."""
+def contaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the sorted item ids.
+
+    Input columns named in `keep` come back as the fields of a struct, kept.
+    """
     spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text"))
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept"))
+    rest = dict(docs.dtypes)["kept"]
     listed = items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).filter(F.col(item_id).isNotNull())
 
     def of_block(block: list[tuple[str, str]], final: bool) -> DataFrame:
@@ -234,9 +238,9 @@ def contaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
                     for d, k in zip((pairs // max(1, len(win.names))).tolist(), (pairs % max(1, len(win.names))).tolist()):
                         named.setdefault(d, []).append(win.names[k])  # names are sorted
                     item_lists = [named.get(d, []) for d in range(n)]
-                    ids = batch.column(0).slice(lo, n)
+                    ids, kept = batch.column(0).slice(lo, n), batch.column(2).slice(lo, n)
                     if final:
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(w.counts), pa.array(n_hit), pa.array([len(x) for x in item_lists], pa.int64()), pa.array([_digest(x) if x else none for x in item_lists]), pa.array(n_hit > 0), pa.array(item_lists, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(w.counts), pa.array(n_hit), pa.array([len(x) for x in item_lists], pa.int64()), pa.array([_digest(x) if x else none for x in item_lists]), pa.array(n_hit > 0), pa.array(item_lists, pa.list_(pa.string())), kept], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "kept"])
                     else:
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                         cut = [[] for _ in range(n)]
@@ -246,10 +250,10 @@ def contaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
                                 stop = min(e, int(w.first[d + 1]))
                                 cut[d].append({"a": s - int(w.first[d]), "b": stop - int(w.first[d])})
                                 s = stop
-                        yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, n), ids, pa.array(w.counts), pa.array(item_lists, pa.list_(pa.string())), pa.array(cut, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["row", "doc_id", "n_words", "items", "cut"])
+                        yield pa.RecordBatch.from_arrays([batch.column(3).slice(lo, n), ids, pa.array(w.counts), pa.array(item_lists, pa.list_(pa.string())), pa.array(cut, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["row", "doc_id", "n_words", "items", "cut"])
 
         if final:
-            return docs.mapInArrow(search, OUT)
+            return docs.mapInArrow(search, f"{OUT}, kept {rest}")
         return numbered.mapInArrow(search, "row string, doc_id long, n_words long, items array<string>, cut array<struct<a long, b long>>")
 
     blocks = _blocks(listed, block_words)
@@ -258,7 +262,7 @@ def contaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
         return of_block(head[0], True)
     # Each row gets a number that every pass over the same written table repeats.
     held, _ = shared.written(docs.withColumn("row", F.expr("uuid()")), "decontaminate")
-    numbered = held.select("doc_id", "text", "row")
+    numbered = held.select("doc_id", "text", F.struct(F.lit(0).alias("_")).alias("kept"), "row")
     parts = [of_block(b, False) for b in itertools.chain(head, blocks)]
     every = parts[0]
     for p in parts[1:]:
@@ -266,7 +270,7 @@ def contaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     spans = F.array_sort(F.flatten(F.collect_list("cut")))
     covered = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(s["a"], a["to"]))).alias("n"), F.greatest(a["to"], s["b"]).alias("to")), lambda a: a["n"])
     merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), spans.alias("spans")).withColumn("n_hit", covered)
-    return merged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
+    return merged.join(held.select("row", "kept"), "row").select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,4 +303,4 @@ FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 
 def digest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns."""
-    return query(spark, sf_dir).drop("items")
+    return query(spark, sf_dir).drop("items", "kept")

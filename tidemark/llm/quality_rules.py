@@ -196,6 +196,17 @@ def judge(documents: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text:
     return rows.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def passed(documents: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The documents that are kept, with all their columns.
+
+    An explode drops the others: a filter would be pushed below the counts, and would compute each of
+    them again wherever its condition names them.
+    """
+    rows = documents.select(F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_document"))
+    judged = judge(rows, rules, "_document")
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("_document")).otherwise(F.slice(F.array("_document"), 1, 0))).alias("_document")).select("_document.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rules = fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))

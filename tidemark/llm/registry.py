@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, license_scan, near_dedup, quality_rules, secret_scan, url_filter
+from tidemark.llm import decontaminate, license_scan, near_dedup, piece_codec, quality_rules, secret_scan, url_filter
 
 QUERIES: dict = {
     "op1_quality_rules": quality_rules.query,
@@ -10,6 +10,7 @@ QUERIES: dict = {
     "op5_secret_scan": secret_scan.query,
     "op6_decontaminate": decontaminate.digest_query,
     "op7_license_scan": license_scan.query,
+    "op8_piece_codec": piece_codec.query,
     "op9_url_filter": url_filter.query,
 }
 ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}

@@ -176,9 +176,9 @@ def _tagged(found: Column, number: int, kind: str) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("number"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row a document: doc_id, text, and found: array<struct<start, kind number, kind, end>> in order."""
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: doc_id, text, found: array<struct<start, kind number, kind, end>> in order, and the columns of `keep` in a struct, kept."""
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept"))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
     wanted = sorted(set().union(*(trigrams(q) for q in indexed.values())))
@@ -189,16 +189,16 @@ def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rules
         # Where no trigram is mandatory, a search for the regex comes before the slower extraction.
         proposed = (F.array_contains("kinds", rule.kind) | F.col("doc_id").isNull()) if rule.kind in indexed else F.col("text").rlike(rule.pattern)
         spans.append(F.when(proposed, _tagged(_found(rule, F.col("text")), n, rule.kind)).otherwise(F.array().cast("array<struct<start:int,number:int,kind:string,end:int>>")))
-    return rows.select("doc_id", "text", F.array_sort(F.concat(*spans)).alias("found"))
+    return rows.select("doc_id", "text", "kept", F.array_sort(F.concat(*spans)).alias("found"))
 
 
 def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redacted(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """doc_id, the text with each span (overlapping ones as one) replaced by `mask`, and found."""
-    rows = scan(documents, doc_id, text, rules)
+def redacted(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the text with each span (overlapping ones as one) replaced by `mask`, found, and kept (see scan)."""
+    rows = scan(documents, doc_id, text, rules, keep)
     none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -206,7 +206,7 @@ def redacted(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", r
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), gap.alias("out"))
 
     clean = F.aggregate("found", none, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
-    return rows.select("doc_id", F.when(F.size("found") > 0, clean).otherwise(F.col("text")).alias("text"), "found")
+    return rows.select("doc_id", F.when(F.size("found") > 0, clean).otherwise(F.col("text")).alias("text"), "found", "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, html_extract, license_scan, line_dedup, near_dedup, piece_codec, quality_rules, secret_scan, url_filter
+from tidemark.llm import decontaminate, html_extract, language_model, license_scan, line_dedup, near_dedup, piece_codec, quality_rules, secret_scan, url_filter
 
 QUERIES: dict = {
     "op1_quality_rules": quality_rules.query,
+    "op2_language_model": language_model.query,
     "op3_line_dedup": line_dedup.query,
     "op4_near_dedup": near_dedup.query,
     "op5_secret_scan": secret_scan.query,

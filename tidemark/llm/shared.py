@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,3 +46,34 @@ def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     path = fresh(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _open(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def publish(folder_uri: str, name: str, *arrays: np.ndarray) -> None:
+    """Writes arrays one after another as a file of the shared folder; a retried task replaces it with the same bytes."""
+    system, path = _open(folder_uri)
+    system.create_dir(path, recursive=True)
+    part = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as out:
+        for a in arrays:
+            out.write(np.ascontiguousarray(a))
+    system.move(part, f"{path}/{name}")
+
+
+def mapped(folder_uri: str, name: str) -> np.ndarray:
+    """A published file's bytes, memory-mapped. One that isn't on a mounted disk is first copied to an unlinked local file."""
+    system, path = _open(folder_uri)
+    if system.type_name == "local":
+        size = os.path.getsize(f"{path}/{name}")
+        return np.memmap(f"{path}/{name}", np.uint8, "r") if size else np.zeros(0, np.uint8)
+    with tempfile.TemporaryFile() as local:
+        with system.open_input_stream(f"{path}/{name}") as source:
+            while chunk := source.read(1 << 22):
+                local.write(chunk)
+        local.flush()
+        return np.memmap(local, np.uint8, "r") if local.tell() else np.zeros(0, np.uint8)

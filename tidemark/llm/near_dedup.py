@@ -8,12 +8,14 @@ A text's set is its distinct shingles of five words. Documents with 100 * |A & B
    number, sample) pair flips one bit, so the population count of two sketches' XOR
    estimates how many samples differ.
 2. Documents with equal sets are one class; only its smallest id goes on.
-3. Classes that share a band meet their band's smallest member. The sketches drop
+3. Classes that share a band meet their band's most central member, the original of a
+   group of copies if it is there. The sketches drop
    pairs far below the threshold. For each class the closest such pair is confirmed
    first; other pairs only where they still join different components.
 4. In bands whose members are yet in different components, members of one component
-   meet members of others, in blocks of bounded size, sketch against sketch; what the
-   sketches pass is confirmed. A band of copies that step 3 has joined is never paired.
+   meet members of others, in blocks of bounded size. Shingles that no other of these
+   texts has bound a pair's similarity from above; what that bound and the sketches pass
+   is confirmed. A band of copies that step 3 has joined is never paired.
 5. Confirmation compares the whole shingle sets, recomputed from the texts of the
    classes concerned.
 
@@ -106,10 +108,7 @@ def _differing(a: str, b: str) -> Column:
 
 def _confirm(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held, _ = shared.written(ids, "ids")
-    small = held.count() <= BROADCAST_IDS
-    texts = documents.join(F.broadcast(held) if small else held.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
+    texts = _texts_of(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), documents)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,37 +136,63 @@ def _with_component(rows: DataFrame, comps: DataFrame, node: str, name: str) ->
     return rows.join(c, F.col(node) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", F.col(node))).drop("_n", "_c")
 
 
-_MEET = "band long, part long, block int, other int, id long, component long, major boolean, sketch array<long>"
+def _texts_of(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """The documents with these ids; a bounded number of ids is broadcast, more are shuffled."""
+    held, _ = shared.written(ids, "ids")
+    small = held.count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(held) if small else held.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
+
+
+def _common(ids: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+    """id, n (shingles) and common: how many of them another of these documents has too."""
 
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in tb.groups(batch.column(1)):
+                sets = list(_sets(tb.words(data, offsets, tb.BLANK_WORD), size))
+                n = np.array([len(s) for s in sets])
+                ids = np.repeat(batch.column(0).slice(lo, hi - lo).to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "n", "shingle"])
+
+    found = _texts_of(ids, documents).mapInArrow(shingles, "id long, n long, shingle long")
+    # A shingle of one document only counts for its owner; of several, for all but through their owners' others.
+    by_shingle = found.groupBy("shingle").agg(F.count("*").alias("k"), F.min(F.struct("id", "n")).alias("o"))
+    own = by_shingle.groupBy(F.col("o.id").alias("own_id")).agg(F.count(F.when(F.col("k") == 1, 1)).alias("alone"))
+    size_of = found.groupBy("id").agg(F.max("n").alias("n"))
+    return shared.written(size_of.join(own, F.col("id") == F.col("own_id"), "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")), "common")[0]
 
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """Members (band, id, component, sketch) of bands with several components, dealt to blocks that meet.
 
-    The component of the band's smallest member is its major one. Each block of major members meets all
-    others; each pair of blocks of the others meets once. A block holds `block` members on average.
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Members (band, id, component, major, n, common, sketch) of bands, dealt to blocks that meet.
+
+    Each block of members of the band's major component meets all others; each pair of blocks of the others
+    meets once. A block holds `block` members on average.
     """
-    least = members.groupBy("band").agg(F.min(F.struct("id", "component"))["component"].alias("m"))
-    rows = members.join(least, "band").withColumn("major", F.col("component") == F.col("m")).drop("m")
+    rows = rows.withColumn("major", F.col("component") == F.col("major"))
     size = rows.groupBy("band").agg(F.ceil(F.count(F.when(F.col("major"), 1)) / block).cast("int").alias("n_major"), F.ceil(F.count(F.when(~F.col("major"), 1)) / block).cast("int").alias("n_minor"))
-    rows = rows.join(size, "band").filter("n_minor > 0")
-    mine = F.pmod(F.xxhash64("id"), F.when(F.col("major"), F.col("n_major")).otherwise(F.col("n_minor"))).cast("int")
-    rows = rows.withColumn("mine", mine)
+    rows = rows.join(size.filter("n_minor > 0"), "band")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("major"), F.col("n_major")).otherwise(F.col("n_minor"))).cast("int"))
     spot = lambda kind, i, j: F.struct(kind.alias("part"), i.alias("block"), j.alias("other"))
     zero = F.lit(0)
-    against = F.transform(F.sequence(zero, F.col("n_major") - 1), lambda k: spot(zero, k, zero))
-    among = F.transform(F.sequence(zero, F.col("n_minor") - 1), lambda k: spot(F.lit(1), F.least(k, F.col("mine")), F.greatest(k, F.col("mine"))))
+    upto = lambda n: F.slice(F.sequence(zero, F.greatest(F.col(n), F.lit(1)) - 1), 1, F.col(n))
+    against = F.transform(upto("n_major"), lambda k: spot(zero, k, zero))
+    among = F.transform(upto("n_minor"), lambda k: spot(F.lit(1), F.least(k, F.col("mine")), F.greatest(k, F.col("mine"))))
     places = F.when(F.col("major"), F.array(spot(zero, F.col("mine"), zero))).otherwise(F.concat(against, among))
-    return rows.withColumn("p", F.explode(places)).select("band", F.col("p.part").cast("long").alias("part"), "p.block", "p.other", "id", "component", "major", "sketch")
+    return rows.withColumn("p", F.explode(places)).select("band", F.col("p.part").cast("long").alias("part"), F.col("p.block").alias("block"), F.col("p.other").alias("other"), "id", "component", "major", "n", "common", "sketch")
+
 
+def _meet(batches: Iterator[pa.RecordBatch], most_bits: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows of _blocks in order of (band, part, block, other) -> pairs whose sketches are near enough.
 
-def _meet(batches: Iterator[pa.RecordBatch], most_bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows of _blocks in order of (band, part, block, other) -> pairs whose sketches are near enough."""
+    A pair's intersection is at most the smaller count of common shingles, which bounds its similarity.
+    """
     key_names = ["band", "part", "block", "other"]
 
     def pairs(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
         key = np.stack([t[n].to_numpy().astype(np.int64) for n in key_names], axis=1)
         edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
         ids, comp, major = t["id"].to_numpy(), t["component"].to_numpy(), t["major"].to_numpy(zero_copy_only=False)
+        n, common = t["n"].to_numpy(), t["common"].to_numpy()
         sketch = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
         out = []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
@@ -176,8 +201,9 @@ def _meet(batches: Iterator[pa.RecordBatch], most_bits: int) -> Iterator[pa.Reco
             left = rows[~major[a:b]] if across else rows
             right = rows[major[a:b]] if across else rows
             for k in left.tolist():
-                far = np.bitwise_count(sketch[right] ^ sketch[k]).sum(axis=1)
-                near = right[(far <= most_bits) & (comp[right] != comp[k])]
+                both = np.minimum(common[right], common[k])
+                near = right[(comp[right] != comp[k]) & (100 * both >= percent * (n[right] + n[k] - both))]
+                near = near[np.bitwise_count(sketch[near] ^ sketch[k]).sum(axis=1) <= most_bits]
                 if not across:
                     near = near[ids[near] > ids[k]]
                 if len(near):
@@ -217,16 +243,20 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     several = members_of_class.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select(F.col("doc_id").alias("d"), "a")
     repeated = members_of_class.join(several, F.col("doc_id") == F.col("d")).filter("a < id").select("a", F.col("id").alias("b")).distinct()
 
-    # Each class with the smallest of its band, for bands of two members or more.
+    # Each class meets the most central member of its band: the one whose bands have the most members in all.
     banded = first.select(F.explode("bands").alias("band"), "id")
-    leaders = banded.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    shared_bands, _ = shared.written(banded.join(leaders, "band").select("band", "id", "leader", "n"), "bands")
-    stars = shared_bands.filter("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    multi, _ = shared.written(banded.join(sizes, "band").select("band", "id", "n"), "bands")
+    central = multi.groupBy("id").agg(F.sum("n").alias("weight"))
+    weighed = multi.join(central, "id")
+    leaders, _ = shared.written(weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("id")))["id"].alias("leader")).select("band", (-F.col("leader")).alias("leader")), "leaders")
+    shared_bands = multi.join(leaders, "band")
+    stars = shared_bands.filter("id != leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), "id").distinct()
     sa, sb = first.select(F.col("id").alias("ia"), F.col("sketch").alias("sa")), first.select(F.col("id").alias("ib"), F.col("sketch").alias("sb"))
     near = stars.join(sa, F.col("a") == F.col("ia")).join(sb, F.col("b") == F.col("ib")).withColumn("far", _differing("sa", "sb")).filter(F.col("far") <= MOST_BITS)
-    near, _ = shared.written(near.select("a", "b", "far"), "near")
+    near, _ = shared.written(near.select("a", "b", "far", "id"), "near")
 
-    closest = near.groupBy("b").agg(F.min(F.struct("far", "a"))["a"].alias("a")).select("a", "b")
+    closest = near.groupBy("id").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     links = _confirm(closest, docs, size, percent).union(repeated)
     comps = components(links)
 
@@ -234,21 +264,26 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         both = _with_component(_with_component(pairs, comps, "a", "ca"), comps, "b", "cb")
         return both.filter("ca != cb").select("a", "b")
 
-    others = apart(near.join(closest.select(F.col("a").alias("xa"), F.col("b").alias("xb")), (F.col("a") == F.col("xa")) & (F.col("b") == F.col("xb")), "left_anti"))
+    others = apart(near.join(closest.select(F.col("a").alias("xa"), F.col("b").alias("xb")), (F.col("a") == F.col("xa")) & (F.col("b") == F.col("xb")), "left_anti").select("a", "b").distinct())
     others, _ = shared.written(others, "others")
     if not others.isEmpty():
         links = links.union(_confirm(others, docs, size, percent))
         comps = components(links)
 
     # Bands of more than two members whose members are still apart.
-    members = _with_component(shared_bands.filter("n > 2").select("band", "id"), comps, "id", "component")
+    members = _with_component(multi.filter("n > 2").select("band", "id"), comps, "id", "component")
     split = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    members = members.join(split, "band", "left_semi")
-    members, _ = shared.written(members.join(first.select("id", "sketch"), "id").select("band", "id", "component", "sketch"), "members")
+    members, _ = shared.written(members.join(split, "band", "left_semi"), "apart")
     if not members.isEmpty():
-        dealt = _blocks(members, BLOCK).repartition("band", "part", "block", "other").sortWithinPartitions("band", "part", "block", "other")
-        met = dealt.select("band", "part", "block", "other", "id", "component", "major", "sketch").mapInArrow(lambda b: _meet(b, MOST_BITS), "a long, b long").distinct()
-        met, _ = shared.written(met.join(near.select(F.col("a").alias("xa"), F.col("b").alias("xb")), (F.col("a") == F.col("xa")) & (F.col("b") == F.col("xb")), "left_anti"), "met")
+        common = _common(members.select("id").distinct(), docs, size)
+        # |A & B| is at most the common shingles of A, and |A | B| at least |A|.
+        able = common.filter(F.col("common") * 100 >= percent * F.col("n"))
+        rows = members.join(able, "id").join(first.select("id", "sketch"), "id").join(leaders, "band")
+        dealt = _blocks(_with_component(rows, comps, "leader", "major"), BLOCK)
+        order = ["band", "part", "block", "other"]
+        met = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _meet(b, MOST_BITS, percent), "a long, b long").distinct()
+        tried = near.select(F.col("a").alias("xa"), F.col("b").alias("xb")).distinct()
+        met, _ = shared.written(met.join(tried, (F.col("a") == F.col("xa")) & (F.col("b") == F.col("xb")), "left_anti"), "met")
         if not met.isEmpty():
             links = links.union(_confirm(met, docs, size, percent))
             comps = components(links)

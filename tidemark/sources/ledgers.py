@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark import schema
 
@@ -18,14 +18,24 @@ def parse_ts(text: Column) -> Column:
     return F.coalesce(slashes, dashes, F.when(text.isNotNull(), bad)).cast("timestamp_ntz")
 
 
+def _csv(spark: SparkSession, path: str, columns: T.StructType, lenient: bool) -> DataFrame:
+    """Rows by position. A malformed line fails; if lenient, lines with a missing or malformed field are left out."""
+    if not lenient:
+        return spark.read.schema(columns).csv(path, header=True, enforceSchema=True, mode="FAILFAST")
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in columns.names])
+    rows = spark.read.schema(texts).csv(path, header=True, enforceSchema=True, mode="PERMISSIVE")
+    values = [F.col(c.name).try_cast(c.dataType).alias(c.name) for c in columns]
+    return rows.select(*values).dropna()
+
+
 def read_transactions(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
     """A ledger from CSV files of 11 positional fields; bank ids lose leading zeros; a malformed line fails, or is left out."""
-    rows = spark.read.schema(schema.LEDGER_CSV).csv(path, header=True, mode="DROPMALFORMED" if lenient else "FAILFAST", enforceSchema=True)
+    rows = _csv(spark, path, schema.LEDGER_CSV, lenient)
     return rows.withColumn("ts", parse_ts(F.col("ts_text"))).select(*schema.LEDGER.names)
 
 
 def read_accounts(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
-    return spark.read.schema(schema.ACCOUNTS).csv(path, header=True, mode="DROPMALFORMED" if lenient else "FAILFAST", enforceSchema=True)
+    return _csv(spark, path, schema.ACCOUNTS, lenient)
 
 
 def ledger_of(events: DataFrame) -> DataFrame:

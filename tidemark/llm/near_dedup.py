@@ -13,14 +13,15 @@ A text's set is its distinct shingles of five words. Documents with 100 * |A & B
    pairs far below the threshold. For each class the closest such pair is confirmed
    first; other pairs only where they still join different components.
 4. In bands whose members are yet in different components, members of one component
-   meet members of others, in blocks of bounded size. Shingles that no other of these
-   texts has bound a pair's similarity from above; what that bound and the sketches pass
-   is confirmed. A band of copies that step 3 has joined is never paired.
+   meet members of others, in blocks of bounded size; a pair is taken up in the first
+   band that it shares. Shingles that no other of these texts has bound a pair's
+   similarity from above, and a sketch of 1024 samples estimates it finely; what passes
+   both is confirmed. A band of copies that step 3 has joined is never paired.
 5. Confirmation compares the whole shingle sets, recomputed from the texts of the
    classes concerned.
 
 A link is lost only if two texts with similarity 0.75 or more share none of 24 bands of
-3 samples (2e-6 at 0.75, less above) or their sketches lie 5 standard deviations off.
+3 samples (2e-6 at 0.75, less above) or a sketch lies 5.5 standard deviations off (2e-8).
 
 Defined cases: a text with fewer than five words, but one, has one shingle, the whole
 sequence; a null or empty text has none, is linked with nothing and kept. A null id is
@@ -43,15 +44,16 @@ from tidemark.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 24, 3
 SKETCH_WORDS = 8
-#: Bits in which two sketches may differ. At similarity 0.75, 18 of 72 samples differ on average (deviation 3.7);
-#: 38 differing samples flip 66 of 512 bits on average (deviation 6).
-MOST_BITS = 92
+#: Bits in which two sketches may differ: at similarity 0.75 it is 34 of 512 on average (deviation 6.7).
+MOST_BITS = 72
+#: The finer sketch of step 4; at similarity 0.75 it differs in 481 of 8192 bits on average (deviation 25).
+FINE_SAMPLES, FINE_WORDS, FINE_BITS = 1024, 128, 620
 #: Members of a block in step 4.
 BLOCK = 256
 #: As many ids may be broadcast; beyond that the same join is shuffled.
 BROADCAST_IDS = 1_000_000
 
-_SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+_SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, (2, FINE_SAMPLES), dtype=np.uint64)
 
 
 def _sets(w: tb.Words, size: int) -> Iterator[np.ndarray]:
@@ -67,8 +69,27 @@ def _sets(w: tb.Words, size: int) -> Iterator[np.ndarray]:
             yield h[:0]
 
 
+def _minima(every: np.ndarray, begin: np.ndarray, samples: int) -> np.ndarray:
+    """MinHash samples of the sets that begin at `begin` in one array: a row a set."""
+    return np.stack([np.minimum.reduceat(every * (_SEEDS[0, k] | np.uint64(1)) + _SEEDS[1, k], begin) for k in range(samples)], axis=1)
+
+
+def _odd_sketch(least: np.ndarray, size: int) -> np.ndarray:
+    """Parity bitmaps of `size` words: each (sample number, sample) flips one bit."""
+    number = np.arange(least.shape[1], dtype=np.uint64)
+    place = tb.mix(least + number * tb._STEP) % np.uint64(64 * size)
+    sketch, rows = np.zeros((len(least), size), np.uint64), np.arange(len(least))
+    for k in range(least.shape[1]):
+        sketch[rows, (place[:, k] // np.uint64(64)).astype(np.int64)] ^= np.uint64(1) << (place[:, k] % np.uint64(64))
+    return sketch
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1).view(np.int64)))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    odd, shift = _SEEDS[0] | np.uint64(1), _SEEDS[1]
+    odd = _SEEDS[0, 0] | np.uint64(1)
     for batch in batches:
         for lo, hi, data, offsets in tb.groups(batch.column(1)):
             sets = list(_sets(tb.words(data, offsets, tb.BLANK_WORD), size))
@@ -81,19 +102,15 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
                 every = np.concatenate([sets[k] for k in some])
                 begin = np.concatenate([[0], np.cumsum(n[some])[:-1]])
                 digest[some, 0] = np.add.reduceat(tb.mix(every), begin)
-                digest[some, 1] = np.bitwise_xor.reduceat(tb.mix(every * odd[0]), begin)
-                least = np.stack([np.minimum.reduceat(every * odd[k] + shift[k], begin) for k in range(BANDS * ROWS)], axis=1)
-                number = np.arange(BANDS * ROWS, dtype=np.uint64)
-                place = tb.mix(least + number * tb._STEP) % np.uint64(64 * SKETCH_WORDS)
-                for k in range(BANDS * ROWS):
-                    sketch[some, (place[:, k] // np.uint64(64)).astype(np.int64)] ^= np.uint64(1) << (place[:, k] % np.uint64(64))
+                digest[some, 1] = np.bitwise_xor.reduceat(tb.mix(every * odd), begin)
+                least = _minima(every, begin, BANDS * ROWS)
+                sketch[some] = _odd_sketch(least, SKETCH_WORDS)
                 for b in range(BANDS):
                     key = np.full(len(some), b, np.uint64)
                     for r in range(ROWS):
                         key = tb.mix(key * tb._STEP + least[:, b * ROWS + r])
                     bands[some, b] = key
-            rows = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), rows(sketch), rows(bands)], names=["doc_id", "n_shingles", "d1", "d2", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), _lists(sketch), _lists(bands)], names=["doc_id", "n_shingles", "d1", "d2", "sketch", "bands"])
 
 
 def signatures(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -106,9 +123,14 @@ def _differing(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _confirm(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    texts = _texts_of(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), documents)
+def _set_table(ids: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+    """(id, shingles): the whole shingle sets of the documents with these ids, from their texts.
+
+    A bounded number of ids is broadcast; more are joined by a shuffle.
+    """
+    held, _ = shared.written(ids, "ids")
+    small = held.count() <= BROADCAST_IDS
+    texts = documents.join(F.broadcast(held) if small else held.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,6 +138,12 @@ def _confirm(pairs: DataFrame, documents: DataFrame, size: int, percent: int) ->
                 found = [s.tobytes() for s in _sets(tb.words(data, offsets, tb.BLANK_WORD), size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(found, pa.binary())], names=["id", "shingles"])
 
+    return shared.written(texts.mapInArrow(sets, "id long, shingles binary"), "sets")[0]
+
+
+def _confirm(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -125,45 +153,51 @@ def _confirm(pairs: DataFrame, documents: DataFrame, size: int, percent: int) ->
                 good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    table, _ = shared.written(texts.mapInArrow(sets, "id long, shingles binary"), "sets")
     left, right = table.select(F.col("id").alias("ia"), F.col("shingles").alias("sa")), table.select(F.col("id").alias("ib"), F.col("shingles").alias("sb"))
     both = pairs.join(left.hint("merge"), F.col("a") == F.col("ia")).join(right.hint("merge"), F.col("b") == F.col("ib"))
     return shared.written(both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long").distinct(), "confirmed")[0]
 
 
-def _with_component(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
-    c = comps.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    return rows.join(c, F.col(node) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", F.col(node))).drop("_n", "_c")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
 
 
-def _texts_of(ids: DataFrame, documents: DataFrame) -> DataFrame:
-    """The documents with these ids; a bounded number of ids is broadcast, more are shuffled."""
-    held, _ = shared.written(ids, "ids")
-    small = held.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(held) if small else held.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
-
+def _bounds(table: DataFrame) -> DataFrame:
+    """id, n (shingles), common (those that another set of the table has too) and a fine odd sketch, of a table of sets."""
 
-def _common(ids: DataFrame, documents: DataFrame, size: int) -> DataFrame:
-    """id, n (shingles) and common: how many of them another of these documents has too."""
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        step = 256
+        for lo in range(0, batch.num_rows, step):
+            part = batch.slice(lo, step)
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
+            yield part.column(0).to_numpy(), sets, np.array([len(s) for s in sets])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in tb.groups(batch.column(1)):
-                sets = list(_sets(tb.words(data, offsets, tb.BLANK_WORD), size))
-                n = np.array([len(s) for s in sets])
-                ids = np.repeat(batch.column(0).slice(lo, hi - lo).to_numpy(), n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "n", "shingle"])
+            for ids, sets, n in read(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "shingle"])
 
-    found = _texts_of(ids, documents).mapInArrow(shingles, "id long, n long, shingle long")
-    # A shingle of one document only counts for its owner; of several, for all but through their owners' others.
-    by_shingle = found.groupBy("shingle").agg(F.count("*").alias("k"), F.min(F.struct("id", "n")).alias("o"))
-    own = by_shingle.groupBy(F.col("o.id").alias("own_id")).agg(F.count(F.when(F.col("k") == 1, 1)).alias("alone"))
-    size_of = found.groupBy("id").agg(F.max("n").alias("n"))
-    return shared.written(size_of.join(own, F.col("id") == F.col("own_id"), "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")), "common")[0]
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, sets, n in read(batch):
+                begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+                fine = _odd_sketch(_minima(np.concatenate(sets), begin, FINE_SAMPLES), FINE_WORDS)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), _lists(fine)], names=["id", "n", "fine"])
+
+    able = table.filter(F.octet_length("shingles") > 0)
+    by_shingle = able.mapInArrow(shingles, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("own_id"))
+    alone = by_shingle.filter("k = 1").groupBy("own_id").agg(F.count("*").alias("alone"))
+    fine = able.mapInArrow(sketches, "id long, n long, fine array<long>")
+    return shared.written(fine.join(alone, F.col("id") == F.col("own_id"), "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"), "fine"), "bounds")[0]
+
+
+def _with_component(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
+    c = comps.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    return rows.join(c, F.col(node) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", F.col(node))).drop("_n", "_c")
 
 
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Members (band, id, component, major, n, common, sketch) of bands, dealt to blocks that meet.
+    """Members (band, id, component, major, n, common, fine, bands) of bands, dealt to blocks that meet.
 
     Each block of members of the band's major component meets all others; each pair of blocks of the others
     meets once. A block holds `block` members on average.
@@ -178,7 +212,7 @@ def _blocks(rows: DataFrame, block: int) -> DataFrame:
     against = F.transform(upto("n_major"), lambda k: spot(zero, k, zero))
     among = F.transform(upto("n_minor"), lambda k: spot(F.lit(1), F.least(k, F.col("mine")), F.greatest(k, F.col("mine"))))
     places = F.when(F.col("major"), F.array(spot(zero, F.col("mine"), zero))).otherwise(F.concat(against, among))
-    return rows.withColumn("p", F.explode(places)).select("band", F.col("p.part").cast("long").alias("part"), F.col("p.block").alias("block"), F.col("p.other").alias("other"), "id", "component", "major", "n", "common", "sketch")
+    return rows.withColumn("p", F.explode(places)).select("band", F.col("p.part").cast("long").alias("part"), F.col("p.block").alias("block"), F.col("p.other").alias("other"), "id", "component", "major", "n", "common", "fine", "bands")
 
 
 def _meet(batches: Iterator[pa.RecordBatch], most_bits: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -193,7 +227,8 @@ def _meet(batches: Iterator[pa.RecordBatch], most_bits: int, percent: int) -> It
         edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
         ids, comp, major = t["id"].to_numpy(), t["component"].to_numpy(), t["major"].to_numpy(zero_copy_only=False)
         n, common = t["n"].to_numpy(), t["common"].to_numpy()
-        sketch = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        sketch, bands = (t[name].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1) for name in ("fine", "bands"))
+        here = key[:, 0].view(np.uint64)
         out = []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             across = key[a, 1] == 0
@@ -204,6 +239,8 @@ def _meet(batches: Iterator[pa.RecordBatch], most_bits: int, percent: int) -> It
                 both = np.minimum(common[right], common[k])
                 near = right[(comp[right] != comp[k]) & (100 * both >= percent * (n[right] + n[k] - both))]
                 near = near[np.bitwise_count(sketch[near] ^ sketch[k]).sum(axis=1) <= most_bits]
+                same = bands[near] == bands[k]
+                near = near[bands[k][np.argmax(same, axis=1)] == here[k]]  # the first band that the two share
                 if not across:
                     near = near[ids[near] > ids[k]]
                 if len(near):
@@ -257,7 +294,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     near, _ = shared.written(near.select("a", "b", "far", "id"), "near")
 
     closest = near.groupBy("id").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = _confirm(closest, docs, size, percent).union(repeated)
+    links = _confirm(closest, _set_table(_ends(closest), docs, size), percent).union(repeated)
     comps = components(links)
 
     def apart(pairs: DataFrame) -> DataFrame:
@@ -267,7 +304,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     others = apart(near.join(closest.select(F.col("a").alias("xa"), F.col("b").alias("xb")), (F.col("a") == F.col("xa")) & (F.col("b") == F.col("xb")), "left_anti").select("a", "b").distinct())
     others, _ = shared.written(others, "others")
     if not others.isEmpty():
-        links = links.union(_confirm(others, docs, size, percent))
+        links = links.union(_confirm(others, _set_table(_ends(others), docs, size), percent))
         comps = components(links)
 
     # Bands of more than two members whose members are still apart.
@@ -275,17 +312,17 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     split = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
     members, _ = shared.written(members.join(split, "band", "left_semi"), "apart")
     if not members.isEmpty():
-        common = _common(members.select("id").distinct(), docs, size)
+        table = _set_table(members.select("id").distinct(), docs, size)
         # |A & B| is at most the common shingles of A, and |A | B| at least |A|.
-        able = common.filter(F.col("common") * 100 >= percent * F.col("n"))
-        rows = members.join(able, "id").join(first.select("id", "sketch"), "id").join(leaders, "band")
+        able = _bounds(table).filter(F.col("common") * 100 >= percent * F.col("n"))
+        rows = members.join(able, "id").join(first.select("id", "bands"), "id").join(leaders, "band")
         dealt = _blocks(_with_component(rows, comps, "leader", "major"), BLOCK)
         order = ["band", "part", "block", "other"]
-        met = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _meet(b, MOST_BITS, percent), "a long, b long").distinct()
+        met = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _meet(b, FINE_BITS, percent), "a long, b long").distinct()
         tried = near.select(F.col("a").alias("xa"), F.col("b").alias("xb")).distinct()
         met, _ = shared.written(met.join(tried, (F.col("a") == F.col("xa")) & (F.col("b") == F.col("xb")), "left_anti"), "met")
         if not met.isEmpty():
-            links = links.union(_confirm(met, docs, size, percent))
+            links = links.union(_confirm(met, table, percent))
             comps = components(links)
 
     rows = _with_component(members_of_class, comps, "id", "component")

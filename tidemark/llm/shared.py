@@ -1,44 +1,19 @@
-"""Folders that the driver and all executors share."""
+"""Tables and array files in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame
 
+from tidemark.storage import fresh, remove
 
-def folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a fresh temporary one where it is unset in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
-
-def fresh(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder; removed when the application ends."""
-    path = f"{folder(spark)}/{kind}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["fresh", "mapped", "publish", "remove", "written"]
 
 
 def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
@@ -49,8 +24,6 @@ def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
 
 
 def _open(uri: str):
-    from pyarrow import fs
-
     return fs.FileSystem.from_uri(uri)
 
 

@@ -41,9 +41,13 @@ def _dropped(text: Column, pattern: str) -> Column:
     return (F.octet_length(text) - F.octet_length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _repeat_words(windows: Column, size: int) -> Column:
     """How many words stand in windows whose hash occurs twice or more."""
-    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def of(s: Column) -> Column:
         again = F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
@@ -51,8 +55,11 @@ def _repeat_words(windows: Column, size: int) -> Column:
         none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
         return F.aggregate(starts, none, lambda a, p: F.struct((a["n"] + p + size - F.greatest(p, a["to"])).alias("n"), (p + size).alias("to")), lambda a: a["n"])
 
-    # A transform over one element names the sorted array, which is then sorted once.
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(F.element_at(F.transform(F.array(ordered), of), 1))
+    def count(w: Column) -> Column:
+        ordered = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(_once(ordered, of))
+
+    return _once(windows, count)
 
 
 def features(documents: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -61,12 +68,15 @@ def features(documents: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     rows = documents.select(*keep, text.alias("_text"), F.array_remove(F.split(text, _SPACE), "").alias("_words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
     word = F.col("_words")
     windows = F.when(F.size(word) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(word) - WINDOW), lambda i: F.xxhash64(*[F.get(word, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.select(
-        *keep, F.size(word).cast("long").alias("n_words"), F.char_length(F.array_join(word, "")).cast("long").alias("word_chars"),
+    counts = F.struct(
+        F.size(word).cast("long").alias("n_words"), F.char_length(F.array_join(word, "")).cast("long").alias("word_chars"),
         _dropped(F.col("_text"), r"[#*$%&|<>]").alias("n_symbols"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size("_lines").alias("n_lines"), _dropped(F.col("_text"), "[A-Z]").alias("n_upper"), _dropped(F.col("_text"), "[!?]").alias("n_shouts"), windows.alias("_windows"),
+        F.size("_lines").alias("n_lines"), _dropped(F.col("_text"), "[A-Z]").alias("n_upper"), _dropped(F.col("_text"), "[!?]").alias("n_shouts"),
+        _repeat_words(windows, WINDOW).alias("n_repeat_words"),
     )
-    rows = rows.withColumn("n_repeat_words", _repeat_words(F.col("_windows"), WINDOW)).drop("_windows")
+    # The explode of one struct is a fence: a later filter on a count can't be pushed below it, where each
+    # mention of a count would compute it again.
+    rows = rows.select(*keep, F.explode(F.array(counts)).alias("_counts")).select(*keep, "_counts.*")
 
     def share(a: str, b: str) -> Column:
         return (F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("double")
@@ -197,14 +207,9 @@ def judge(documents: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text:
 
 
 def passed(documents: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """The documents that are kept, with all their columns.
-
-    An explode drops the others: a filter would be pushed below the counts, and would compute each of
-    them again wherever its condition names them.
-    """
+    """The documents that are kept, with all their columns."""
     rows = documents.select(F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_document"))
-    judged = judge(rows, rules, "_document")
-    return judged.select(F.explode(F.when(F.col("kept"), F.array("_document")).otherwise(F.slice(F.array("_document"), 1, 0))).alias("_document")).select("_document.*")
+    return judge(rows, rules, "_document").filter("kept").select("_document.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

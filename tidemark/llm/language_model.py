@@ -43,8 +43,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm import shared, textbuf as tb
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"tidemark end of text"))
-#: Entries of a shard, about.
-SHARD = 4_000_000
+#: Tokens of a shard of bigrams, about, and words of a shard of words.
+SHARD, WORDS = 4_000_000, 250_000
 #: Tokens whose bigrams are combined before they are sent.
 COMBINE = 3_000_000
 GROUP = 4 << 20
@@ -64,6 +64,7 @@ class Model:
     low_discounts: tuple[float, float, float]
     low_total: int
     low_left: float  # gamma'
+    empty_pairs: tuple[int, ...] = ()  # context shards without a bigram, which have no file
 
     def save(self) -> None:
         shared.publish(self.folder, "model.json", np.frombuffer(json.dumps(asdict(self)).encode(), np.uint8))
@@ -110,7 +111,7 @@ class Reader:
     def pairs(self, shard: int) -> tuple[np.ndarray, ...]:
         """Sorted bigrams and counts; sorted contexts, their counts, and their numbers of bigrams with count 1, 2, 3+."""
         if shard not in self._pairs:
-            raw = shared.mapped(self.m.folder, f"pairs-{shard}")
+            raw = np.zeros(16, np.uint8) if shard in self.m.empty_pairs else shared.mapped(self.m.folder, f"pairs-{shard}")
             n, k = (int(x) for x in raw[:16].view(np.int64))
             cut = np.cumsum([16, 8 * n, 8 * n, 8 * k, 8 * k, 8 * k, 8 * k, 8 * k])
             kinds = [np.uint64] + [np.int64] * 6
@@ -253,7 +254,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
 
 
 def _write_pairs(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Writes each context shard; yields (w, contexts) of its words, and counts of counts as (-k, number)."""
+    """Writes each context shard; yields (w, contexts) of its words, counts of counts as (-k, number), and (-5 - shard, bigrams)."""
 
     def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         key, back = np.unique(np.concatenate(keys), return_inverse=True)
@@ -274,7 +275,7 @@ def _write_pairs(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
         shared.publish(folder, f"pairs-{shard}", np.array([len(key), len(ctx)], np.int64), key, n, ctx, by(n), by(n == 1), by(n == 2), by(n >= 3))
         word, contexts = np.unique((key & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
         few = np.arange(1, 5)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([word, -few])), pa.array(np.concatenate([contexts, [int((n == k).sum()) for k in few]]).astype(np.int64))], names=["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([word, -few, [-5 - shard]])), pa.array(np.concatenate([contexts, [int((n == k).sum()) for k in few], [len(key)]]).astype(np.int64))], names=["w", "n"])
 
 
 def _write_lower(batches: Iterator[pa.RecordBatch], folder: str, bases: tuple[int, ...], types: int) -> Iterator[pa.RecordBatch]:
@@ -300,7 +301,7 @@ def train(texts: DataFrame, text: str = "text", shard_size: int = SHARD) -> Mode
     types = counted.count()
     if types >= (1 << 32) - 1:
         raise ValueError("word numbers take 32 bits")
-    bits = max(0, (types // shard_size).bit_length())
+    bits = (types // min(WORDS, shard_size)).bit_length()
     shard = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
     parts = max(1, min(1 << bits, 4096))
     sizes = _sharded(counted.select(shard.alias("shard"), "h", "n"), parts).mapInArrow(lambda b: _write_words(b, folder), "shard int, size long, tokens long").collect()
@@ -311,7 +312,8 @@ def train(texts: DataFrame, text: str = "text", shard_size: int = SHARD) -> Mode
 
     pairs = _sharded(docs.mapInArrow(lambda b: _count_pairs(b, model), "shard int, n long, v binary, w binary, c binary"), model.pair_shards)
     met, _ = shared.written(pairs.mapInArrow(lambda b: _write_pairs(b, folder), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "contexts")
-    of_counts = {r["w"]: r["n"] for r in met.filter("w < 0").collect()}  # four rows
+    of_counts = {r["w"]: r["n"] for r in met.filter("w < 0").collect()}  # four rows, and one a shard
+    empty = tuple(k for k in range(model.pair_shards) if -5 - k not in of_counts)
     word_shard = F.lit(0)
     for k, base in enumerate(bases[1:], 1):  # as many as word shards
         word_shard = F.when(F.col("w") >= base, k).otherwise(word_shard) if (1 << bits) <= 64 else word_shard
@@ -323,7 +325,7 @@ def train(texts: DataFrame, text: str = "text", shard_size: int = SHARD) -> Mode
     few = np.array([r["few"] for r in found] or [[0] * 5]).sum(axis=0).tolist()
     low = discounts(few[:4])
     left = (low[0] * few[0] + low[1] * few[1] + low[2] * few[4]) / total if total else 1.0
-    model = Model(folder, bits, bases, model.pair_shards, tokens, types, discounts([of_counts.get(-k, 0) for k in range(1, 5)]), low, total, left)
+    model = Model(folder, bits, bases, model.pair_shards, tokens, types, discounts([of_counts.get(-k, 0) for k in range(1, 5)]), low, total, left, empty)
     model.save()
     return model
 

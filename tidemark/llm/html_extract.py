@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm import shared
 from tidemark.llm.url_filter import host_of
 
 #: Different article texts of a host on which a subtree must stand to be a template.
@@ -79,11 +81,17 @@ class Node:
 def parse(html: str) -> Node:
     root = Node("#page")
     stack = [root]
+    opened: Counter[str] = Counter()
     at, end = 0, len(html)
 
     def close(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
         del stack[k:]
 
+    def enter(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] += 1
+
     while at < end:
         m = _TAG.search(html, at)
         if m is None:
@@ -96,7 +104,7 @@ def parse(html: str) -> Node:
         if not tag or (m[4] or m[8]) != ">":
             continue
         if m[1] or m[5]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -104,13 +112,13 @@ def parse(html: str) -> Node:
                     break
             continue
         if tag in BLOCKS:  # closes an open paragraph
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened["p"] else ():
                 if stack[k].tag == "p":
                     close(k)
                     break
                 if stack[k].tag in _SCOPE:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[t] for t in CLOSES[tag][0]):
             gone, until = CLOSES[tag]
             k = len(stack) - 1
             cut = None
@@ -126,9 +134,9 @@ def parse(html: str) -> Node:
             found = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = found.end() if found else end
         elif tag not in VOID and not node.attributes.endswith("/"):
-            stack.append(node)
+            enter(node)
         elif tag not in VOID and tag in BLOCKS | {"b", "i", "em", "strong", "span", "a"}:
-            stack.append(node)  # a slash on such a tag means nothing in HTML
+            enter(node)  # a slash on such a tag means nothing in HTML
     return root
 
 
@@ -265,7 +273,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """One row a page: page_id, url, text and n_chars."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(html).cast("string").alias("html"))
     rows = rows.withColumn("of_html", F.xxhash64("html"))
-    found = subtrees(rows)
+    found, _ = shared.written(subtrees(rows), "subtrees")
     here = found.filter("within").select("page_id", "of_html", "host", "subtree").distinct()
     cut = here.join(templates(found, min_pages), ["host", "subtree"], "left_semi").groupBy("page_id", "of_html").agg(F.collect_set("subtree").alias("cut"))
     cut = cut.select(F.col("page_id").alias("cut_id"), F.col("of_html").alias("cut_html"), "cut")

@@ -50,3 +50,11 @@ def test_stream_goes_on_from_its_checkpoint(spark, data, tmp_path):
     both = run()
     assert first < both.count() == both.distinct().count() == registry.L.ledger(spark, f"{data}/sf0.001").filter(P.in_dollars()).count()
     assert run().count() == both.count()
+
+
+def test_a_complete_aggregate_is_read_again(spark, data, tmp_path):
+    def run():
+        return jobs.completed(registry.A.largest_payment(jobs.ledger_stream(spark, f"{data}/sf0.001")), str(tmp_path / "out"), str(tmp_path / "offsets"))
+
+    first = sorted(map(tuple, run().collect()))
+    assert first and sorted(map(tuple, run().collect())) == first

@@ -36,24 +36,20 @@ def appended(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
 
 
 def completed(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Runs a complete-mode aggregate; each batch replaces the table of its number, and the last is read."""
+    """Runs a complete-mode aggregate; each batch writes its own table, again if it is repeated, and the last one is read."""
     spark = stream.sparkSession
-    last: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        last.append(number)
 
     query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    if last:
-        return spark.read.schema(stream.schema).parquet(f"{out}/batch={last[-1]}")
-    return spark.read.parquet(out).drop("batch") if query.lastProgress is None and _has(spark, out) else spark.createDataFrame([], stream.schema)
-
-
-def _has(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return spark.createDataFrame([], stream.schema)
+    last = max(int(f.getPath().getName().split("=")[1]) for f in files.listStatus(where))
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch={last}")
 
 
 def _run(how: Callable[[DataFrame, str, str], DataFrame], stream: DataFrame) -> DataFrame:

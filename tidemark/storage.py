@@ -10,18 +10,21 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a fresh temporary one where it is unset in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """The folder that spark.checkpoint.dir names, as a URI; a fresh temporary one where it is unset in local mode."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not named and current.isDefined():
+        named = current.get()
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        context.setCheckpointDir(named)
+    # A path without a scheme belongs to the default file system, which Python on an executor can't know.
+    where = context._jvm.org.apache.hadoop.fs.Path(named)
+    uri = where.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+    return "file://" + uri[len("file:") :] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def fresh(spark: SparkSession, kind: str) -> str:

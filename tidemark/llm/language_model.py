@@ -38,7 +38,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm import shared, textbuf as tb
 
@@ -292,6 +292,16 @@ def _sharded(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "shard").sortWithinPartitions("shard")
 
 
+def _shard_of(number: Column, bases: tuple[int, ...]) -> Column:
+    """The word shard of a word's number: how many later shards begin at it or before it."""
+    if len(bases) > 64:
+        return F.size(F.filter(F.lit(list(bases[1:])), lambda b: b <= number)).cast("int")
+    out = F.lit(0)
+    for k, base in enumerate(bases[1:], 1):
+        out = F.when(number >= base, k).otherwise(out)
+    return out.cast("int")
+
+
 def train(texts: DataFrame, text: str = "text", shard_size: int = SHARD) -> Model:
     """A model of all texts."""
     spark = texts.sparkSession
@@ -314,12 +324,7 @@ def train(texts: DataFrame, text: str = "text", shard_size: int = SHARD) -> Mode
     met, _ = shared.written(pairs.mapInArrow(lambda b: _write_pairs(b, folder), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "contexts")
     of_counts = {r["w"]: r["n"] for r in met.filter("w < 0").collect()}  # four rows, and one a shard
     empty = tuple(k for k in range(model.pair_shards) if -5 - k not in of_counts)
-    word_shard = F.lit(0)
-    for k, base in enumerate(bases[1:], 1):  # as many as word shards
-        word_shard = F.when(F.col("w") >= base, k).otherwise(word_shard) if (1 << bits) <= 64 else word_shard
-    if (1 << bits) > 64:
-        word_shard = F.size(F.filter(F.lit(list(bases[1:])), lambda b: b <= F.col("w")))
-    lower = _sharded(met.filter("w >= 0").select(word_shard.cast("int").alias("shard"), "w", "n"), parts)
+    lower = _sharded(met.filter("w >= 0").select(_shard_of(F.col("w"), bases).alias("shard"), "w", "n"), parts)
     found = lower.mapInArrow(lambda b: _write_lower(b, folder, bases, types), "shard int, total long, few array<long>").collect()
     total = sum(r["total"] for r in found)
     few = np.array([r["few"] for r in found] or [[0] * 5]).sum(axis=0).tolist()
@@ -346,7 +351,7 @@ def scored(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
     return rows.mapInArrow(run, schema).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def held_out(doc_id: str = "doc_id"):
+def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 7 == 2
 
 

@@ -35,7 +35,9 @@ def test_bank_max_ties_and_unnamed_banks(spark):
     df = ledger(spark, [tx(a=(1, "A"), amount=900.0), tx(a=(1, "Z"), amount=900.0), tx(a=(7, "Q"), amount=5000.0), tx(a=(2, "B"), amount=9999.0, currency="Euro"), tx(a=(2, "C"), amount=70.0)])
     accounts = spark.createDataFrame([("Two", 2), ("One", 1), ("Uno", 1), ("Nine", 9)], "bank_name string, bank_id long")
     assert rows(U.bank_max(df, accounts)) == [(1, "Z", "One", 900.0), (2, "C", "Two", 70.0)]
-    assert rows(A.largest_payment_by_rank(df)) == rows(A.largest_payment(df))
+    assert rows(A.largest_payment_by_rank(df)) == rows(A.largest_payment_in_one_pass(df))
+    usd = df.filter(P.in_dollars())
+    assert rows(A.largest_payment_by_rank(usd)) == rows(A.largest_payment(usd)) == rows(A.largest_payment_in_one_pass(usd))
 
 
 def test_far_below_average_periods(spark):

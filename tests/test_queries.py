@@ -54,7 +54,7 @@ def test_stream_goes_on_from_its_checkpoint(spark, data, tmp_path):
 
 def test_a_complete_aggregate_is_read_again(spark, data, tmp_path):
     def run():
-        return jobs.completed(registry.A.largest_payment(jobs.ledger_stream(spark, f"{data}/sf0.001")), str(tmp_path / "out"), str(tmp_path / "offsets"))
+        return jobs.completed(registry.A.largest_payment_in_one_pass(jobs.ledger_stream(spark, f"{data}/sf0.001")), str(tmp_path / "out"), str(tmp_path / "offsets"))
 
     first = sorted(map(tuple, run().collect()))
     assert first and sorted(map(tuple, run().collect())) == first

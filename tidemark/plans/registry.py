@@ -161,6 +161,11 @@ def uc2_top1_window(spark, d):
     return A.largest_payment_by_rank(L.ledger(spark, d).filter(P.in_dollars()))
 
 
+@query("SELECT * FROM top")
+def uc2_max_one_pass(spark, d):
+    return A.largest_payment_in_one_pass(L.ledger(spark, d).filter(P.in_dollars()))
+
+
 @query("SELECT bank_id, bank_name FROM names")
 def uc2_bank_names(spark, d):
     return A.bank_names(L.accounts(spark, d))

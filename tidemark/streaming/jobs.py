@@ -67,7 +67,7 @@ def low_value(spark: SparkSession, sf_dir: str, s: Settings = EVENTS) -> DataFra
 
 
 def bank_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(completed, A.largest_payment(ledger_stream(spark, sf_dir).filter(P.in_dollars())))
+    return _run(completed, A.largest_payment_in_one_pass(ledger_stream(spark, sf_dir).filter(P.in_dollars())))
 
 
 def format_averages(spark: SparkSession, sf_dir: str, s: Settings = EVENTS) -> DataFrame:

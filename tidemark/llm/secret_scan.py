@@ -65,11 +65,16 @@ def _join(kind: str, parts: list[Query]) -> Query:
             flat.add(p)
     if not flat:
         return True
+    if kind == "or":  # a conjunction that demands more than another one adds nothing
+        parts_of = {q: q[1] if isinstance(q, tuple) and q[0] == "and" else frozenset([q]) for q in flat}
+        flat = {q for q, p in parts_of.items() if not any(o < p for o in parts_of.values())}
     return next(iter(flat)) if len(flat) == 1 else (kind, frozenset(flat))
 
 
 def _of_strings(strings: set[str]) -> Query:
-    return _join("or", [_join("and", [s[k : k + 3] for k in range(len(s) - 2)]) for s in strings])
+    """Trigrams that cover each string, side by side; the last one may overlap. A string around another adds nothing."""
+    strings = {s for s in strings if not any(o in s and o != s for o in strings)}
+    return _join("or", [_join("and", [s[k : k + 3] for k in sorted({*range(0, len(s) - 2, 3), max(0, len(s) - 3)}) if len(s) > 2]) for s in sorted(strings)])
 
 
 def _analyse(nodes) -> tuple[set[str] | None, Query]:

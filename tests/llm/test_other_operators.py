@@ -35,7 +35,7 @@ def text(html):
     ("<body><nav>n</nav><div>a &amp; b&nbsp;&lt;c&gt;</div><script>if (a<b) {'</p>'}</script>d</body>", "a & b <c>\nd"),
     ("<article>a<aside>s</aside>b<div class='ad box'>ad</div>c<form>f</form><div id=comments>r</div></article>", "a\nb\nc"),
     ("<main>m<article class=comment>c</article></main><p>out</p>", "m"), ("<article><ul><li>1<li>2</ul>3</article>", "1\n2\n3"), ("<p>cut <a href='x", "cut"), ("<p title='>'>q</p>", "q"),
-    ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2\n3"), ("x<!-- c > --!>y<!-- no end", "xy" if False else "x"), ("<div hidden>h</div>1 < 2", "1 < 2"), ("<article>A</article>x<article>B</article>", "A\nB"), ("&am &amp &copy;", "&am & ©"),
+    ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2\n3"), ("x<!-- c > --!>y<!-- no end", "x"), ("<div hidden>h</div>1 < 2", "1 < 2"), ("<article>A</article>x<article>B</article>", "A\nB"), ("&am &amp &copy;", "&am & ©"),
 ])
 def test_blocks(html, want):
     assert text(html) == want

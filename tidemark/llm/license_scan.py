@@ -123,3 +123,35 @@ def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", templ
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _grams_sql() -> str:
+    quoted = lambda x: "NULL" if x is None else f"'{x}'"
+    rows = [f"({n}, '{t.label}', {str(t.base).upper()}, {str(len(t.words.split()) < LONG).upper()}, {len(t.grams())}, {k}, '{a}', '{b}', {quoted(c)})" for n, t in enumerate(TEMPLATES) for k, a, b, c in t.grams()]
+    return ", ".join(rows)
+
+
+ORACLE_SQL = rf"""
+WITH known(template, label, base, short, n_grams, t, a, b, c) AS (VALUES {_grams_sql()}),
+doc AS (
+  SELECT row_number() OVER () AS row, doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS n_words,
+    regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+gram AS (SELECT row, p - 1 AS p, w[p] AS wa, w[p + 1] AS wb, w[p + 2] AS wc FROM doc, unnest(range(1, len(w))) AS u(p)),
+vote AS (SELECT DISTINCT row, template, label, base, short, n_grams, p - t AS diagonal, t FROM gram JOIN known ON wa = a AND wb = b AND (c IS NULL OR c = wc)),
+whole AS (SELECT row, label, base, diagonal AS start, 1.0e0 AS coverage FROM vote WHERE short GROUP BY row, template, label, base, n_grams, diagonal HAVING count(*) = n_grams),
+apart AS (
+  SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > {NEAR}, FALSE)::INT AS far
+  FROM (SELECT DISTINCT row, template, diagonal FROM vote WHERE NOT short)),
+run AS (SELECT row, template, diagonal, sum(far) OVER (PARTITION BY row, template ORDER BY diagonal) AS run FROM apart),
+merged AS (
+  SELECT row, label, base, min(diagonal) AS start, count(DISTINCT t)::DOUBLE / n_grams AS coverage FROM vote JOIN run USING (row, template, diagonal)
+  WHERE NOT short GROUP BY row, template, label, base, n_grams, run HAVING count(DISTINCT t)::DOUBLE / n_grams >= {COVERAGE}),
+span AS (SELECT * FROM whole UNION ALL SELECT * FROM merged),
+found AS (
+  SELECT row, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(coverage) AS score
+  FROM span GROUP BY row)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM doc LEFT JOIN found USING (row)
+"""

@@ -16,4 +16,10 @@ QUERIES: dict = {
     "op9_url_filter": url_filter.query,
     "op10_html_extract": html_extract.query,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op5_secret_scan": secret_scan.ORACLE_SQL,
+    "op6_decontaminate": decontaminate.ORACLE_SQL,
+    "op7_license_scan": license_scan.ORACLE_SQL,
+    "op9_url_filter": url_filter.ORACLE_SQL,
+}

@@ -220,3 +220,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda kind: F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter(found, lambda s: s["number"] < sum(r.base for r in RULES))
     return rows.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(found).alias("spans"))
+
+
+def _spans_sql(number: int, rule: Rule) -> str:
+    """Matches of one rule: pieces between matches and the matches' lengths give their places."""
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    return f"""
+  SELECT row, {number} AS number, '{rule.kind}' AS kind, p[1] AS start, p[2] AS stop
+  FROM (
+    SELECT row, unnest(list_transform(list_filter(range(1, len(m) + 1), lambda k: length(t[k]) >= {rule.least}), lambda k: [
+        coalesce(list_sum(list_transform(g[1 : k], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(m[1 : k - 1], lambda x: length(x))), 0)::BIGINT,
+        coalesce(list_sum(list_transform(g[1 : k], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(m[1 : k], lambda x: length(x))), 0)::BIGINT])) AS p
+    FROM (SELECT row, string_split_regex(text, {pattern}) AS g, regexp_extract_all(text, {pattern}) AS m, regexp_extract_all(text, {pattern}, {rule.group}) AS t FROM doc))"""
+
+
+ORACLE_SQL = f"""
+WITH doc AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+span AS ({" UNION ALL ".join(_spans_sql(n, r) for n, r in enumerate(RULES))}),
+found AS (
+  SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, number) FILTER (number < {sum(r.base for r in RULES)}) AS base,
+    string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, number) AS spans
+  FROM span GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN found USING (row)
+"""

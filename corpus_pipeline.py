@@ -26,8 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
     found, _ = shared.written(near_dedup.near_duplicates(docs), "near")
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone, _ = shared.written(found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    # A bounded number of ids is broadcast, so that the texts stay where they are; more are joined by a shuffle.
+    few = gone.count() <= near_dedup.BROADCAST_IDS
+    out = docs.join(F.broadcast(gone) if few else gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
     repeated = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
         return out

@@ -320,12 +320,15 @@ def encoded(documents: DataFrame, text: str = "text", model: str | None = None,
     """
     keep = tuple(c for c in (keep if keep is not None else documents.columns) if c not in ("ids", "round_trip"))
     path = model or default_model()
-    rows = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("ids"))
+    # A text that is kept is sent to the workers once.
+    kept_text = text in keep and dict(documents.dtypes)[text] == "string"
+    place = keep.index(text) if kept_text else len(keep)
+    rows = documents.select(*[F.col(f"`{c}`") for c in keep], *([] if kept_text else [F.col(text).cast("string").alias("ids")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(path)
         for batch in batches:
-            column = batch.column(len(keep))
+            column = batch.column(place)
             for lo, hi, data, offsets in tb.groups(column, GROUP):
                 ids, first = codec.encode(data, offsets)
                 raw = data.tobytes()

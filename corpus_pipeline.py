@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm import decontaminate, near_dedup, piece_codec, quality_rules, secret_scan, shared
 
 
+#: Bytes of rows that go to a Python worker at once: whole documents are sent along with their texts.
+BATCH = "8m"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and the decision list learned from `labels`."""
     rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -38,6 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     judged = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
     return judged.filter("NOT contaminated").select(*[F.col("kept")[c].alias(c) for c in docs.columns])
 
@@ -54,6 +59,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the ids of their pieces and whether these decode to the text."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return piece_codec.encoded(docs)
 
 

@@ -292,6 +292,49 @@ def test_language_model(documents, shard):
     assert got == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("order, shard", [(3, language_model.SHARD), (3, 40), (4, 40)])
+def test_language_model_of_higher_order(documents, order, shard):
+    docs = documents.select("doc_id", "text", language_model.held_out().alias("held_out"))
+    model = language_model.train(docs.filter("NOT held_out"), shard_size=shard, order=order)
+    got = sorted(((r.doc_id, round(r.score, 6)) for r in language_model.scored(docs, model).collect()), key=str)
+    texts = [(i, [*(t or "").encode().lower().split(), None]) for i, t in pairs(documents)]
+    train = [t for i, t in texts if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    grams = {k: collections.Counter() for k in range(1, order + 1)}
+    for t in train:
+        t = [0, *t]
+        for k in range(1, len(t)):
+            g = tuple(t[max(0, k - order + 1) : k + 1])
+            grams[len(g)][g] += 1
+    for k in range(order, 1, -1):
+        grams[k - 1].update(g[1:] for g in grams[k])
+    types = len({w for t in train for w in t})
+    d, ctx, few = {}, collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
+    for k, c in grams.items():
+        d[k] = language_model.discounts([sum(n == j for n in c.values()) for j in range(1, 5)])
+        for g, n in c.items():
+            ctx[g[:-1]] += n
+            few[g[:-1]][min(n, 3) - 1] += 1
+
+    def p(v, w):
+        k = len(v) + 1
+        low = p(v[1:], w) if v else 1 / (types + 1)
+        if v not in ctx:
+            return low
+        n = grams[k][*v, w]
+        return max(n - (0, *d[k])[min(n, 3)], 0) / ctx[v] + sum(x * y for x, y in zip(d[k], few[v])) / ctx[v] * low
+
+    words = {w for t in train for w in t}
+    assert max(len(v) for v in ctx) == order - 1
+    for v in [(0,), *sorted((v for v in ctx if len(v) == order - 1), key=str)[:3]]:
+        assert sum(p(v, w) for w in words) + p(v, "new") == pytest.approx(1)
+    want = [(i, round(sum(math.log10(p(tuple([0, *t][max(0, k - order + 2) : k + 1]), w)) for k, w in enumerate(t)), 6)) for i, t in texts]
+    assert got == sorted(want, key=str)
+
+
+def test_language_model_query_sees_two_words_back():
+    assert language_model.ORDER >= 3
+
+
 def test_language_model_without_training(documents):
     model = language_model.train(documents.limit(0))
     assert all(r.score == 0 and r.n_known == 0 for r in language_model.scored(documents, model).collect())

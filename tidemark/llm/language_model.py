@@ -1,32 +1,35 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
+"""An interpolated modified Kneser-Ney model of any order, counted in Spark and memory-mapped by workers.
 
-Tokens are the words of a text with A-Z lower-cased, then one end token; a bigram's
-context is the token before, or a start mark. Training takes three passes of shuffles:
+Tokens are the words of a text with A-Z lower-cased, then one end token, behind one start
+mark. A gram is a token with the tokens before it, `order` in all, or fewer where it reaches
+back to the start mark. Training takes these passes of shuffles:
 
 1. word hashes are counted and written as sorted hash arrays, in shards by hash range;
    a word's place in them is its number;
-2. bigrams, as pairs of numbers packed and combined per task, are grouped by shards of
-   their context, summed, and written as sorted arrays with their contexts' statistics;
-3. each word's number of different contexts is summed over the shards and written beside
-   the words: the lower order of the model.
-
-Discounts of both orders come from counts of counts. Scoring is a pass over the texts:
+2. grams, as columns of numbers packed and combined per task, are grouped by shards of
+   their context, summed, and written as contexts with their words and counts;
+3. the different grams, without their first token, are those of the next lower order,
+   which is written in the same way, down to bigrams;
+4. each word's number of different contexts is summed over the shards and written beside
+   the words: the lowest order of the model.
+
+Discounts of each order come from counts of counts. Scoring is a pass over the texts:
 each worker memory-maps the shards it meets and binary-searches sorted queries in them,
 so a worker's memory doesn't grow with the model. Shards hold a bounded number of
 entries; their number grows with the corpus.
 
-    p(w | v) = max(c(vw) - D, 0) / c(v) + gamma(v) * p(w)
-    p(w)     = max(n(w) - D', 0) / sum n + gamma' / (V + 1)
-
-with c of training bigrams, n(w) the number of contexts of w, and D by count 1, 2, 3+.
+    p(w | uv) = max(c(uvw) - D, 0) / c(uv) + gamma(uv) * p(w | v)
+    p(w)      = max(n(w) - D', 0) / sum n + gamma' / (V + 1)
 
-The order is 2: trigrams of this kind of text are nearly all distinct, and their arrays
-would take several times the disk that the check allows.
+with c the training count for grams of the full order and those that begin with the start
+mark, and for others the number of different tokens before the gram; n(w) the number of
+contexts of w; and D by count 1, 2, 3+. Contexts of up to two tokens are compared by their
+numbers, longer ones by a 64-bit hash of them.
 
 Defined cases: a null or empty text is the end token alone. A null id is in training.
-An unknown word has the probability gamma' / (V + 1); an unknown context leaves p(w).
-Without training texts every token has probability 1. Rows with the same id count and
-are scored each. Other columns are not read.
+An unknown word has the probability gamma' / (V + 1); an unknown context leaves that of
+the next shorter one. Without training texts every token has probability 1. Rows with the
+same id count and are scored each. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,10 +46,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.llm import shared, textbuf as tb
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"tidemark end of text"))
-#: Tokens of a shard of bigrams, about, and words of a shard of words.
+#: The query's order.
+ORDER = 3
+#: Tokens of a shard of grams, about, and words of a shard of words.
 SHARD, WORDS = 4_000_000, 250_000
-#: Tokens whose bigrams are combined before they are sent.
+#: Tokens whose grams are combined before they are sent.
 COMBINE = 3_000_000
+#: Shards of level k are numbered from k * SPAN; statistics travel below SPAN.
+SPAN = 1 << 20
+#: Contexts with more words than this have their sums in the file; those of others are taken when they are met.
+LONG = 8
+GRAMS = "shard int, n long, g binary, c binary"
 GROUP = 4 << 20
 
 
@@ -57,14 +67,15 @@ class Model:
     folder: str
     word_bits: int  # words are sharded by the first bits of their hash
     bases: tuple[int, ...]  # number of the first word of each word shard
-    pair_shards: int  # bigrams are sharded by context number modulo this
+    order: int
+    shards: int  # grams of each level are sharded by context into so many
     tokens: int
     types: int
-    discounts: tuple[float, float, float]
+    discounts: tuple[tuple[float, float, float], ...]  # of levels 2, 3, ...
     low_discounts: tuple[float, float, float]
     low_total: int
     low_left: float  # gamma'
-    empty_pairs: tuple[int, ...] = ()  # context shards without a bigram, which have no file
+    written: tuple[int, ...] = ()  # level * SPAN + shard of the shards that hold grams; others have no file
 
     def save(self) -> None:
         shared.publish(self.folder, "model.json", np.frombuffer(json.dumps(asdict(self)).encode(), np.uint8))
@@ -93,11 +104,120 @@ def _unpack(b: bytes, kind: str, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(b, n * np.dtype(kind).itemsize, codec="zstd"), kind)
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+
+
+def _key(context: list[np.ndarray]) -> np.ndarray:
+    """A number for each context, given as columns of token numbers: exact up to two tokens, a hash beyond."""
+    if len(context) == 1:
+        return context[0].astype(np.uint64)
+    key = _pair(*context[:2])
+    for c in context[2:]:
+        key = tb.mix(key) + c.astype(np.uint64)
+    return key
+
+
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return (tb.mix(key) % np.uint64(shards)).astype(np.int64)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
+
+
+def _combined(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct grams, in order, and their summed counts."""
+    keys = [_pair(*columns[k : k + 2]) if k + 1 < len(columns) else columns[k] for k in range(0, len(columns), 2)]
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    order, n = order[at], np.add.reduceat(n[order], at) if len(at) else n
+    return [c[order] for c in columns], n
+
+
+def _sent(columns: list[np.ndarray], n: np.ndarray, shards: int) -> list[tuple]:
+    """Distinct grams as rows of GRAMS, one a shard."""
+    shard = _shard(_key(columns[:-1]), shards)
+    order = np.argsort(shard, kind="stable")
+    columns, n, shard = [c[order] for c in columns], n[order].astype(np.uint32), shard[order]
+    cut = _runs(shard)
+    return [(len(columns) * SPAN + int(shard[a]), int(b - a), _pack(np.concatenate([c[a:b] for c in columns])), _pack(n[a:b])) for a, b in zip(cut[:-1], cut[1:])]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.binary(), pa.binary()])], names=["shard", "n", "g", "c"])
+
+
+@dataclass
+class Grams:
+    """A shard of one level: contexts in order, and the words of context k in order at begin[k]:begin[k + 1]."""
+
+    contexts: np.ndarray
+    long: np.ndarray  # contexts of more than LONG words, and their sums of counts and numbers of words with count 1, 2, 3+
+    over: np.ndarray  # places of counts of 255 and more, and the counts
+    begin: np.ndarray
+    words: np.ndarray
+    low_counts: np.ndarray
+
+    @classmethod
+    def of(cls, raw: np.ndarray) -> Grams:
+        n, k, long, over = (int(x) for x in raw[:32].view(np.int64))
+        cut = np.cumsum([32, 8 * k, 40 * long, 16 * over, 4 * (k + 1), 4 * n, n])
+        a = [raw[x:y].view(t) for x, y, t in zip(cut[:-1], cut[1:], [np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.uint8])]
+        return cls(a[0], a[1].reshape(5, long), a[2].reshape(2, over), *a[3:])
+
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        n = self.low_counts[at].astype(np.int64)
+        big = np.flatnonzero(n == 255)
+        n[big] = self.over[1][np.searchsorted(self.over[0], at[big])]
+        return n
+
+    def count(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Counts of words in contexts, given by place; 0 where a word isn't."""
+        a, end = self.begin[context].astype(np.int64), self.begin[context + 1].astype(np.int64)
+        b = end.copy()
+        live = np.flatnonzero(a < b)
+        while len(live):
+            mid = (a[live] + b[live]) >> 1
+            less = self.words[mid] < word[live]
+            a[live[less]] = mid[less] + 1
+            b[live[~less]] = mid[~less]
+            live = live[a[live] < b[live]]
+        out = np.zeros(len(a), np.int64)
+        good = np.flatnonzero(a < end)
+        good = good[self.words[a[good]] == word[good]]
+        out[good] = self.counts(a[good])
+        return out
+
+    def sums(self, context: np.ndarray) -> np.ndarray:
+        """Of contexts, given by place: sums of counts, and numbers of words with count 1, 2, 3+."""
+        out = np.empty((4, len(context)), np.int64)
+        begin = self.begin[context].astype(np.int64)
+        size = self.begin[context + 1].astype(np.int64) - begin
+        long, short = np.flatnonzero(size > LONG), np.flatnonzero(size <= LONG)
+        out[:, long] = self.long[1:, np.searchsorted(self.long[0], context[long])]
+        if len(short):
+            size = size[short]
+            edge = np.cumsum(size) - size
+            out[:, short] = _sums(self.counts(np.repeat(begin[short] - edge, size) + np.arange(size.sum())), edge)
+        return out
+
+
+def _sums(n: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    return np.stack([np.add.reduceat(x.astype(np.int64), edge) for x in (n, n == 1, n == 2, n >= 3)])
+
+
 class Reader:
     """A worker's view of a model: maps shards as they are met."""
 
     def __init__(self, model: Model):
-        self.m, self._words, self._pairs = model, {}, {}
+        self.m, self._words, self._grams, self._written = model, {}, {}, set(model.written)
 
     def words(self, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted hashes, counts and numbers of contexts."""
@@ -108,15 +228,11 @@ class Reader:
             self._words[shard] = counts[: 8 * n].view(np.uint64), counts[8 * n :].view(np.int64), lower
         return self._words[shard]
 
-    def pairs(self, shard: int) -> tuple[np.ndarray, ...]:
-        """Sorted bigrams and counts; sorted contexts, their counts, and their numbers of bigrams with count 1, 2, 3+."""
-        if shard not in self._pairs:
-            raw = np.zeros(16, np.uint8) if shard in self.m.empty_pairs else shared.mapped(self.m.folder, f"pairs-{shard}")
-            n, k = (int(x) for x in raw[:16].view(np.int64))
-            cut = np.cumsum([16, 8 * n, 8 * n, 8 * k, 8 * k, 8 * k, 8 * k, 8 * k])
-            kinds = [np.uint64] + [np.int64] * 6
-            self._pairs[shard] = tuple(raw[a:b].view(t) for a, b, t in zip(cut[:-1], cut[1:], kinds))
-        return self._pairs[shard]
+    def grams(self, level: int, shard: int) -> Grams | None:
+        name = level * SPAN + shard
+        if name not in self._grams:
+            self._grams[name] = Grams.of(shared.mapped(self.m.folder, f"grams-{level}-{shard}")) if name in self._written else None
+        return self._grams[name]
 
     def look_up(self, h: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number or -1, count, contexts) of distinct, sorted hashes."""
@@ -146,36 +262,45 @@ class Reader:
         m = self.m
         distinct, back = np.unique(h, return_inverse=True)
         number, count, contexts = self.look_up(distinct)
-        low = self._low(contexts)[back]
-        before = np.empty(len(h), np.int64)
-        before[1:] = number[back][:-1]
-        before[first[:-1]] = m.types  # the start mark
-        word = number[back]
-        p = low.copy()
-        seen = np.flatnonzero(before >= 0)
-        shard = before[seen] % m.pair_shards
-        key = (before[seen].astype(np.uint64) << np.uint64(32)) | np.maximum(word[seen], 0).astype(np.uint64)
-        order = np.lexsort((key, shard))
-        seen, key, shard = seen[order], key[order], shard[order]
-        cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]) if len(shard) else [0]
-        d = np.array([0.0, *m.discounts])
-        for a, b in zip(cut[:-1], cut[1:]):
-            keys, counts, ctx, total, n1, n2, n3 = self.pairs(int(shard[a]))
-            if not len(keys):
-                continue
-            s, k = seen[a:b], key[a:b]
-            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            c = np.where((keys[at] == k) & (word[s] >= 0), counts[at], 0)
-            v = (k >> np.uint64(32)).astype(np.int64)
-            where = np.minimum(np.searchsorted(ctx, v), len(ctx) - 1)
-            ok = ctx[where] == v
-            s, c, where = s[ok], c[ok], where[ok]
-            left = (d[1] * n1[where] + d[2] * n2[where] + d[3] * n3[where]) / total[where]
-            p[s] = np.maximum(c - d[np.minimum(c, 3)], 0) / total[where] + left * low[s]
+        word, p = number[back], self._low(contexts)[back]
+        place = _place(first)
+        for level in range(2, m.order + 1):
+            at = np.flatnonzero(place >= level - 2)
+            context = _context(word, place, at, level, m.types)
+            known = np.all([c >= 0 for c in context], axis=0)
+            at, key = at[known], _key([c[known] for c in context])
+            shard = _shard(key, m.shards)
+            order = np.lexsort((key, shard))
+            at, key, shard = at[order], key[order], shard[order]
+            cut = _runs(shard)
+            d = np.array([0.0, *m.discounts[level - 2]])
+            for a, b in zip(cut[:-1], cut[1:]):
+                g = self.grams(level, int(shard[a]))
+                if g is None:
+                    continue
+                s, k = at[a:b], key[a:b]
+                where = np.minimum(np.searchsorted(g.contexts, k), len(g.contexts) - 1)
+                ok = g.contexts[where] == k
+                s, where = s[ok], where[ok]
+                c = g.count(where, word[s])
+                some, again = np.unique(where, return_inverse=True)
+                total, n1, n2, n3 = g.sums(some)
+                left = (d[1] * n1 + d[2] * n2 + d[3] * n3) / total
+                p[s] = np.maximum(c - d[np.minimum(c, 3)], 0) / total[again] + left[again] * p[s]
         base = np.log10((count[back] + 1) / (m.tokens + 1 * (m.types + 1)))
         return np.add.reduceat((count[back] > 0).astype(np.int64), first[:-1]), np.add.reduceat(base, first[:-1]), np.add.reduceat(np.log10(p), first[:-1])
 
 
+def _place(first: np.ndarray) -> np.ndarray:
+    """How many tokens of its text are before each token."""
+    return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+
+
+def _context(word: np.ndarray, place: np.ndarray, at: np.ndarray, level: int, mark: int) -> list[np.ndarray]:
+    """The level - 1 tokens before each token of at, the farthest first; the start mark stands before the first of a text."""
+    return [np.where(place[at] >= k, word[np.maximum(at - k, 0)], mark) for k in range(level - 1, 0, -1)]
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -222,60 +347,86 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table
         yield int(current), pa.Table.from_batches(held)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Packed bigrams of each context shard: (shard, n, keys, counts)."""
+def _count_grams(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Grams of the full order, and shorter ones from the start mark, as rows of GRAMS."""
     reader = Reader(model)
-    held: list[np.ndarray] = []
+    held: dict[int, list[list[np.ndarray]]] = {}
     size = 0
 
     def packed() -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        shard = ((key >> np.uint64(32)) % np.uint64(model.pair_shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        key, n, shard = key[order], n[order], shard[order]
-        cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
-        rows = [(int(shard[a]), int(b - a), _pack((key[a:b] >> np.uint64(32)).astype(np.uint32)), _pack(key[a:b].astype(np.uint32)), _pack(n[a:b].astype(np.uint32))) for a, b in zip(cut[:-1], cut[1:])]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["shard", "n", "v", "w", "c"])
+        rows = []
+        for level in sorted(held):
+            columns = [np.concatenate(c) for c in zip(*held.pop(level))]
+            rows += _sent(*_combined(columns, np.ones(len(columns[0]), np.int64)), model.shards)
+        return _batch(rows)
 
     for batch in batches:
         for _, _, h, first in _tokens(batch, 0):
             distinct, back = np.unique(h, return_inverse=True)
-            word = reader.look_up(distinct, lower=False)[0][back].astype(np.uint64)
-            before = np.empty_like(word)
-            before[1:] = word[:-1]
-            before[first[:-1]] = model.types
-            held.append((before << np.uint64(32)) | word)
+            word = reader.look_up(distinct, lower=False)[0][back]
+            place = _place(first)
+            for level in range(2, model.order + 1):
+                at = np.flatnonzero(place >= level - 2 if level == model.order else place == level - 2)
+                if len(at):
+                    held.setdefault(level, []).append([c.astype(np.uint32) for c in (*_context(word, place, at, level, model.types), word[at])])
             size += len(word)
             if size > COMBINE:
                 yield packed()
-                held, size = [], 0
+                size = 0
     if held:
         yield packed()
 
 
-def _write_pairs(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Writes each context shard; yields (w, contexts) of its words, counts of counts as (-k, number), and (-5 - shard, bigrams)."""
-
-    def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        return key, np.bincount(back, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+def _write_grams(batches: Iterator[pa.RecordBatch], folder: str, level: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Writes the shards of a level; yields rows of GRAMS: the next lower level's, those of other levels as they came, and statistics.
 
+    Of level 2 it yields (w, contexts) instead, and the statistics as (negative number, value).
+    """
     for shard, t in _by_shard(batches):
-        keys, counts, size = [], [], 0
-        for n, v, w, c in zip(*(t[k].to_pylist() for k in ("n", "v", "w", "c"))):
-            keys.append((_unpack(v, "<u4", n).astype(np.uint64) << np.uint64(32)) | _unpack(w, "<u4", n))
-            counts.append(_unpack(c, "<u4", n))
+        if shard // SPAN != level:
+            if level > 2:
+                yield from t.to_batches()
+                continue
+            told = [np.frombuffer(g, np.int64).reshape(2, -1) for g in t["g"].to_pylist()]
+            yield _pairs_of(*np.concatenate(told, axis=1))
+            continue
+        parts: list[tuple[list[np.ndarray], np.ndarray]] = []
+        size = 0
+        for n, g, c in zip(*(t[k].to_pylist() for k in ("n", "g", "c"))):
+            parts.append((list(_unpack(g, "<u4", level * n).reshape(level, n)), _unpack(c, "<u4", n).astype(np.int64)))
             size += n
             if size > 2 * SHARD:  # repeats of many tasks are combined on the way
-                key, total = summed(keys, counts)
-                keys, counts, size = [key], [total], 0
-        key, n = summed(keys, counts)
-        ctx, begin = np.unique((key >> np.uint64(32)).astype(np.int64), return_index=True)
-        by = lambda x: np.add.reduceat(x.astype(np.int64), begin)
-        shared.publish(folder, f"pairs-{shard}", np.array([len(key), len(ctx)], np.int64), key, n, ctx, by(n), by(n == 1), by(n == 2), by(n >= 3))
-        word, contexts = np.unique((key & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
+                parts = [_summed(parts)]
+                size = 0
+        columns, n = _summed(parts)
+        del parts
+        key = _key(columns[:-1])
+        if level > 3:  # hashes aren't in the order of their columns
+            order = np.lexsort((columns[-1], key))
+            columns, n, key = [c[order] for c in columns], n[order], key[order]
+        begin = _runs(key)
+        sums = _sums(n, begin[:-1])
+        long, over = np.flatnonzero(np.diff(begin) > LONG), np.flatnonzero(n >= 255)
+        shared.publish(folder, f"grams-{level}-{shard - level * SPAN}", np.array([len(n), len(begin) - 1, len(long), len(over)]), key[begin[:-1]], long, sums[:, long], over, n[over], begin.astype(np.uint32), columns[-1], np.minimum(n, 255).astype(np.uint8))
         few = np.arange(1, 5)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([word, -few, [-5 - shard]])), pa.array(np.concatenate([contexts, [int((n == k).sum()) for k in few], [len(key)]]).astype(np.int64))], names=["w", "n"])
+        told = np.array([[*(-few - 8 * level), -SHARDS - shard], [*((n == k).sum() for k in few), len(n)]], np.int64)
+        if level > 2:
+            lower = _combined(columns[1:], np.ones(len(n), np.int64))
+            yield _batch([(shard % SPAN, 5, told.tobytes(), b""), *_sent(*lower, shards)])
+        else:
+            yield _pairs_of(*np.concatenate([told, np.unique(columns[-1].astype(np.int64), return_counts=True)], axis=1))
+
+
+#: Statistics: -8 * level - k for the number of a level's grams with count k, and -SHARDS - shard for a shard's grams.
+SHARDS = 1 << 40
+
+
+def _pairs_of(w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], names=["w", "n"])
+
+
+def _summed(parts: list[tuple[list[np.ndarray], np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    return _combined([np.concatenate(c) for c in zip(*(p[0] for p in parts))], np.concatenate([p[1] for p in parts]))
 
 
 def _write_lower(batches: Iterator[pa.RecordBatch], folder: str, bases: tuple[int, ...], types: int) -> Iterator[pa.RecordBatch]:
@@ -302,12 +453,14 @@ def _shard_of(number: Column, bases: tuple[int, ...]) -> Column:
     return out.cast("int")
 
 
-def train(texts: DataFrame, text: str = "text", shard_size: int = SHARD) -> Model:
-    """A model of all texts."""
+def train(texts: DataFrame, text: str = "text", shard_size: int = SHARD, order: int = 2) -> Model:
+    """A model of all texts, with grams of up to `order` tokens."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = texts.sparkSession
     folder = shared.fresh(spark, "model")
     docs = texts.select(F.col(text).cast("string").alias("text"))
-    counted, _ = shared.written(docs.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    counted, path = shared.written(docs.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     types = counted.count()
     if types >= (1 << 32) - 1:
         raise ValueError("word numbers take 32 bits")
@@ -318,19 +471,23 @@ def train(texts: DataFrame, text: str = "text", shard_size: int = SHARD) -> Mode
     size = {r["shard"]: r["size"] for r in sizes}
     bases = tuple(int(x) for x in np.concatenate([[0], np.cumsum([size.get(k, 0) for k in range(1 << bits)])[:-1]]))
     tokens = sum(r["tokens"] for r in sizes)
-    model = Model(folder, bits, bases, max(1, -(-tokens // shard_size)), tokens, types, (0.5,) * 3, (0.5,) * 3, 0, 1.0)
-
-    pairs = _sharded(docs.mapInArrow(lambda b: _count_pairs(b, model), "shard int, n long, v binary, w binary, c binary"), model.pair_shards)
-    met, _ = shared.written(pairs.mapInArrow(lambda b: _write_pairs(b, folder), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "contexts")
-    of_counts = {r["w"]: r["n"] for r in met.filter("w < 0").collect()}  # four rows, and one a shard
-    empty = tuple(k for k in range(model.pair_shards) if -5 - k not in of_counts)
+    shared.remove(spark, path)
+    model = Model(folder, bits, bases, order, min(SPAN - 1, max(1, -(-tokens // shard_size))), tokens, types, ((0.5,) * 3,) * (order - 1), (0.5,) * 3, 0, 1.0)
+
+    grams = docs.mapInArrow(lambda b: _count_grams(b, model), GRAMS)
+    for level in range(order, 1, -1):
+        grams = _sharded(grams, model.shards).mapInArrow(lambda b, level=level: _write_grams(b, folder, level, model.shards), GRAMS if level > 2 else "w long, n long")
+    met, _ = shared.written(grams.groupBy("w").agg(F.sum("n").alias("n")), "contexts")
+    told = {-r["w"]: r["n"] for r in met.filter("w < 0").collect()}  # four rows a level, and one a shard
+    held = tuple(sorted(k - SHARDS for k in told if k >= SHARDS))
+    by_level = tuple(discounts([told.get(8 * level + k, 0) for k in range(1, 5)]) for level in range(2, order + 1))
     lower = _sharded(met.filter("w >= 0").select(_shard_of(F.col("w"), bases).alias("shard"), "w", "n"), parts)
     found = lower.mapInArrow(lambda b: _write_lower(b, folder, bases, types), "shard int, total long, few array<long>").collect()
     total = sum(r["total"] for r in found)
     few = np.array([r["few"] for r in found] or [[0] * 5]).sum(axis=0).tolist()
     low = discounts(few[:4])
     left = (low[0] * few[0] + low[1] * few[1] + low[2] * few[4]) / total if total else 1.0
-    model = Model(folder, bits, bases, model.pair_shards, tokens, types, discounts([of_counts.get(-k, 0) for k in range(1, 5)]), low, total, left, empty)
+    model = Model(folder, bits, bases, order, model.shards, tokens, types, by_level, low, total, left, held)
     model.save()
     return model
 
@@ -357,6 +514,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", held_out().alias("held_out"))
-    model = train(documents.filter("NOT held_out"))
+    model = train(documents.filter("NOT held_out"), order=ORDER)
     rows = scored(documents, model, keep=("held_out",))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

@@ -260,6 +260,12 @@ def test_line_dedup(spark):
     assert line_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_passages_keep_no_short_lines(spark):
+    docs = spark.createDataFrame([(1, "all rights reserved.\nown one\n\n"), (2, "own two\nAll  rights reserved.\n\n"), (3, "short\nshort"), (4, None), (5, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in line_dedup.without_passages(docs).collect()}
+    assert got == {1: ("all rights reserved.\nown one\n\n", []), 2: ("own two\n\n", [(1, 8, 29)]), 3: ("short", [(1, 6, 11)]), 4: ("", []), 5: ("", [])}
+
+
 @pytest.mark.parametrize("shard", [language_model.SHARD, 40])
 def test_language_model(documents, shard):
     docs = documents.select("doc_id", "text", language_model.held_out().alias("held_out"))

@@ -5,7 +5,13 @@ hashed to 128 bits. Digests are grouped over all documents. The first line with
 digest, by document id and then by place, stays; every other one is removed from its
 text, with its number and its offsets in the original kept.
 
-Lines of fewer than `min_words` words are left alone: they recur by chance.
+`deduplicated` leaves lines of fewer than `min_words` words alone, and knows no unit but the
+line; its SQL says the same. `without_passages` does more: every line that has a word is
+hashed, and so are the sentences within lines, which end at . ! or ? before white space.
+Lines and sentences meet each other. A later line goes, whatever its length. Later
+sentences next to each other go, with the white space up to the next one, if they have
+`run_words` words together; a line of which nothing is left goes with them. The first
+occurrence of every line and sentence stays.
 
 Defined cases: a null or empty text has one empty line, which stays, and gives an empty
 text; a null id ranks after all others. Rows with the same id are one document: a line
@@ -14,6 +20,7 @@ that it has first stays in each of its rows. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm import shared
 
 MIN_WORDS = 8
+#: Words of neighbouring repeated sentences that make a passage; fewer recur by chance.
+RUN_WORDS = 8
 _LAST = (1 << 63) - 1
+_STOP = re.compile(r"[.!?]+\s+")
+_UNITS = "rank long, of_text long, d1 long, d2 long, line int, start int, end int, words int, whole boolean, first boolean"
+_PASSAGES = "doc_id long, n_lines long, n_removed long, removed array<struct<line:int,start:bigint,end:bigint>>, text string"
 _LINES = "rank long, of_text long, d1 long, d2 long, line int, start long, end long, first boolean"
 
 
@@ -66,12 +78,105 @@ def deduplicated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     return rows.select("doc_id", F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"), F.when(F.col("removed").isNull(), F.col("text")).otherwise(left).alias("text"))
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def _sentences(line: str) -> list[tuple[int, int]]:
+    """Where each sentence of a line begins, and where the next one does."""
+    edges = [0, *(m.end() for m in _STOP.finditer(line)), len(line)]
+    return [(a, b) for a, b in zip(edges[:-1], edges[1:]) if a < b]
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines that have a word, and their sentences if these are several."""
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.bool_()] * 2
+    names = [c.split()[0] for c in _UNITS.split(", ")]
+    for batch in batches:
+        rows: list[tuple] = []
+        for rank, of_text, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            at, seen = 0, set()
+            for k, line in enumerate(text.split("\n")):
+                parts = _sentences(line)
+                for n, (a, b) in enumerate([(0, len(line)), *(parts if len(parts) > 1 else [])]):
+                    words = line[a:b].encode("utf-8", "replace").lower().split()
+                    if words:
+                        d = xxhash.xxh3_128_intdigest(b" ".join(words))
+                        rows.append((rank, of_text, _signed(d >> 64), _signed(d & 0xFFFFFFFFFFFFFFFF), k, at + a, at + b, len(words), n == 0, d not in seen))
+                        seen.add(d)
+                at += len(line) + 1
+            if len(rows) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+
+def _cut(text: str, repeated: list[dict], run_words: int) -> tuple[list[dict], str]:
+    """Removed spans in order, and what is left of the text."""
+    lines = text.split("\n")
+    whole = {r["line"] for r in repeated if r["whole"]}
+    # Neighbours in one line touch; those of two lines are a line feed, or white space without a word, apart.
+    runs: list[list[dict]] = []
+    for r in sorted((r for r in repeated), key=lambda r: (r["start"], r["end"])):
+        if r["line"] in whole and not r["whole"]:
+            continue
+        if runs and not text[runs[-1][-1]["end"] : r["start"]].strip():
+            runs[-1].append(r)
+        else:
+            runs.append([r])
+    gone: dict[int, list[tuple[int, int]]] = {}
+    for run in runs:
+        long = sum(r["words"] for r in run) >= run_words
+        for r in run:
+            if r["whole"] or long:
+                gone.setdefault(r["line"], []).append((r["start"], r["end"]))
+    removed, left, at = [], [], 0
+    for k, line in enumerate(lines):
+        spans, kept, last = gone.get(k, []), [], at
+        for a, b in spans:
+            kept.append(text[last:a])
+            last = b
+        kept.append(text[last : at + len(line)])
+        rest = "".join(kept)
+        if not spans or rest.strip():
+            left.append(rest)
+        removed += [{"line": k, "start": a, "end": b} for a, b in spans]
+        at += len(line) + 1
+    return removed, "\n".join(left)
+
+
+def without_passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+    """One row a document: doc_id, n_lines, n_removed (spans), removed: array<struct<line, start, end>> (code points), text."""
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("rank"), F.xxhash64(value).alias("of_text"), value.alias("text"))
+    units, _ = shared.written(docs.select("rank", "of_text", "text").mapInArrow(_units, _UNITS), "units")
+    again = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("rank").alias("keeper")).filter("n > 1")
+    again = again.select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), "keeper")
+    gone = units.join(again, (F.col("d1") == F.col("x1")) & (F.col("d2") == F.col("x2"))).filter("NOT (rank = keeper AND first)")
+    cut = gone.groupBy(F.col("rank").alias("cut_rank"), F.col("of_text").alias("cut_text")).agg(F.collect_set(F.struct("line", "start", "end", "words", "whole")).alias("repeated"))
+    rows = docs.join(cut, (F.col("rank") == F.col("cut_rank")) & (F.col("of_text") == F.col("cut_text")), "left").select("doc_id", "text", "repeated")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            done = [_cut(t, r, run_words) if r else ([], t) for t, r in zip(texts, batch.column(2).to_pylist())]
+            columns = [batch.column(0), pa.array([t.count("\n") + 1 for t in texts], pa.int64()), pa.array([len(d[0]) for d in done], pa.int64())]
+            spans = pa.array([d[0] for d in done], pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*columns, spans, pa.array([d[1] for d in done], pa.string())], names=["doc_id", "n_lines", "n_removed", "removed", "text"])
+
+    return rows.mapInArrow(run, _PASSAGES)
+
+
+def passage_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(without_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _flat(rows: DataFrame) -> DataFrame:
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["line"], r["start"], r["end"])), ",")
     return rows.select("doc_id", "n_lines", "n_removed", spans.alias("removed"), "text")
 
 
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 ORACLE_SQL = rf"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 line AS (

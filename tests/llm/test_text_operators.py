@@ -266,6 +266,21 @@ def test_passages_keep_no_short_lines(spark):
     assert got == {1: ("all rights reserved.\nown one\n\n", []), 2: ("own two\n\n", [(1, 8, 29)]), 3: ("short", [(1, 6, 11)]), 4: ("", []), 5: ("", [])}
 
 
+def test_passages_within_lines(spark):
+    """A passage that begins and ends inside lines goes, but for the sentences that it only shares in part."""
+    inner = "That one too. It has a longer sentence of some words. So it ends."
+    rows = [(1, f"Some first words {inner[:13]}\n{inner[14:]} And 🙂 more"), (2, f"🙂 Before it. {inner[:13]} {inner[14:]} After it."), (3, "Alone. So it ends. Alone again."), (4, f"Own.\n{inner[14:]}\nOwn too.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in line_dedup.without_passages(docs).collect()}
+    assert got[1] == (rows[0][1], []) and got[3] == (rows[2][1], [])  # three words recur by chance
+    start = rows[1][1].index("It has")
+    assert got[2][0] == "🙂 Before it. That one too. After it."
+    middle, end = rows[1][1].index("So it"), rows[1][1].index("After")
+    assert got[2][1] == [(0, start, middle), (0, middle, end)]
+    assert got[4][0] == "Own.\nOwn too."
+    assert line_dedup.without_passages(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("shard", [language_model.SHARD, 40])
 def test_language_model(documents, shard):
     docs = documents.select("doc_id", "text", language_model.held_out().alias("held_out"))

@@ -260,6 +260,16 @@ def test_line_dedup(spark):
     assert line_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1_000_000, 4])
+def test_decontaminate_items_without_id(spark, block):
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "four five six"), (3, "clean")], "doc_id long, text string")
+    for items, want in [([(None, "one two three"), ("a", "four five six"), (None, "four five six")], [(1, 3, [], True), (2, 3, ["a"], True), (3, 0, [], False)]), ([(None, "one two three")], [(1, 3, [], True), (2, 0, [], False), (3, 0, [], False)])]:
+        bench = spark.createDataFrame(items, "item_id string, text string")
+        got = decontaminate.contaminated(docs, bench, block_words=block).collect()
+        assert sorted((r.doc_id, r.n_hit, r["items"], r.contaminated) for r in got) == want
+        assert all(r.n_items == len(r["items"]) for r in got)
+
+
 def test_passages_keep_no_short_lines(spark):
     docs = spark.createDataFrame([(1, "all rights reserved.\nown one\n\n"), (2, "own two\nAll  rights reserved.\n\n"), (3, "short\nshort"), (4, None), (5, "")], "doc_id long, text string")
     got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in line_dedup.without_passages(docs).collect()}

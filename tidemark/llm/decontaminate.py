@@ -19,6 +19,8 @@ Words are compared by 64-bit hashes of their bytes, `size` of them for a window.
 Defined cases: a null or empty text has no words, is never hit and gives no window;
 an item with equal words elsewhere is found wherever any item's window stands;
 repeated document rows give a row each; repeated item ids count once for a document.
+An item whose id is null hits words as any other does, and is left out of the ids only; the
+SQL leaves out such items altogether, so it holds for tables without them.
 Other columns are not read.
 """
 
@@ -55,9 +57,9 @@ class Windows:
     names: list[str]
 
 
-def windows_of(items: list[tuple[str, str]], size: int) -> Windows:
-    """Windows of (item id, text) pairs."""
-    names = sorted({i for i, _ in items})
+def windows_of(items: list[tuple[str | None, str]], size: int) -> Windows:
+    """Windows of (item id, text) pairs. Those of items without an id have no owner by them."""
+    names = sorted({i for i, _ in items if i is not None})
     number = {n: k for k, n in enumerate(names)}
     seen: dict[bytes, set[int]] = {}
     for name, text in items:
@@ -65,7 +67,9 @@ def windows_of(items: list[tuple[str, str]], size: int) -> Windows:
         h = tb.words(data, np.array([0, len(data)]), tb.ALNUM_WORD).hashes()
         n = min(size, len(h))
         for k in range(len(h) - n + 1 if n else 0):
-            seen.setdefault(h[k : k + n].tobytes(), set()).add(number[name])
+            of = seen.setdefault(h[k : k + n].tobytes(), set())
+            if name is not None:
+                of.add(number[name])
     sizes = np.array([len(w) // 8 for w in seen], np.int64)
     owners = [sorted(x) for x in seen.values()]
     return Windows(
@@ -212,7 +216,7 @@ def contaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept"))
     rest = dict(docs.dtypes)["kept"]
-    listed = items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).filter(F.col(item_id).isNotNull())
+    listed = items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string"))
 
     def of_block(block: list[tuple[str, str]], final: bool) -> DataFrame:
         win = windows_of(block, window)

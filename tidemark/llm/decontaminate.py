@@ -214,6 +214,7 @@ def contaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     Input columns named in `keep` come back as the fields of a struct, kept.
     """
     spark = documents.sparkSession
+    shared.bounded_batches(spark)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept"))
     rest = dict(docs.dtypes)["kept"]
     listed = items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string"))

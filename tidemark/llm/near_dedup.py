@@ -111,6 +111,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
                         key = tb.mix(key * tb._STEP + least[:, b * ROWS + r])
                     bands[some, b] = key
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), _lists(sketch), _lists(bands)], names=["doc_id", "n_shingles", "d1", "d2", "sketch", "bands"])
+    shared.release()
 
 
 def signatures(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -266,6 +267,7 @@ def _meet(batches: Iterator[pa.RecordBatch], most_bits: int, percent: int) -> It
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 75) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
+    shared.bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed, _ = shared.written(signatures(docs, size), "signatures")
     able = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")

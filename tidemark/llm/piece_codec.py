@@ -4,18 +4,19 @@ A text is cut into units: a run of spaces and the characters up to the next spac
 piece crosses a unit, so equal units are encoded once. For the units of a batch that
 are new to the worker:
 
-1. their texts, each with its leading space mark, are concatenated and indexed by a
-   suffix array (sorted as deep as the longest piece);
+1. their texts, each with its leading spaces, are concatenated and indexed by a suffix
+   array (sorted as deep as the longest piece that may stand there);
 2. every piece of the vocabulary is binary-searched, all pieces at once, for the range
    of suffixes that begin with it: each suffix in the range is an edge;
-3. edges are sorted by the place in the unit where they end;
+3. edges are sorted by the place in the unit where they begin;
 4. edges are relaxed in that order. For BPE, a prefix has exactly one last piece: the one
    whose predecessor, the last piece of the shorter prefix, stays a neighbour of it when
    the two are encoded together. Verdicts on pairs of neighbours are kept.
 
-A character that no piece covers is an edge of its own, and becomes its UTF-8 bytes.
-Units with more than one leading space, where marks may merge among themselves, are
-merged pair by pair. The result equals that of the sentencepiece library.
+A character that no piece covers is an edge of its own, and becomes its UTF-8 bytes. A
+unit of any length is indexed in parts of bounded size, whose edges reach into the next
+part; a worker's memory is bounded by bytes but for the text itself and 8 bytes for each
+of its own. The result equals that of the sentencepiece library.
 
 Decoding joins the pieces' bytes, turns space marks into spaces and drops the first.
 
@@ -36,15 +37,17 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import textbuf as tb
+from tidemark.llm import shared, textbuf as tb
 
 MARK = "▁"
 _MARK = MARK.encode()
 _SPACE = np.arange(256) != 0x20
-#: Units that a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
-#: Bytes of texts that are handled together, and of units in one suffix array, whose edges take about 200 times as much.
-GROUP, INDEXED = 2 << 20, 400_000
+#: Bytes of remembered units, and remembered pairs of neighbours (9 bytes each), after which a worker starts anew.
+HELD, PAIRS = 16 << 20, 1_000_000
+#: Bytes of texts that are handled together, and of units in one suffix array.
+GROUP, INDEXED = 1 << 20, 1 << 17
+#: Edges that are relaxed one by one rather than as an array.
+FEW = 12
 
 
 def default_model() -> str:
@@ -75,8 +78,8 @@ class Pieces:
             raw[self.byte[b]] = bytes([b])
         self.first = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        # Pieces that can stand in a unit with one mark, as big-endian words.
-        found = [(self.text[i].encode(), i) for i in self.id.values() if self.text[i].count(MARK) < 2]
+        # Pieces with spaces for their marks, as big-endian words.
+        found = [(self.text[i].replace(MARK, " ").encode(), i) for i in self.id.values()]
         self.deep = max(len(b) for b, _ in found) // 8 + 1
         wide = lambda fill: np.array([np.frombuffer(b.ljust(8 * self.deep, fill), ">u8") for b, _ in found]).astype(np.uint64)
         self.low, self.high, self.ids = wide(b"\0"), wide(b"\xff"), np.array([i for _, i in found])
@@ -115,27 +118,44 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes groups of texts; remembers units and pairs of neighbours."""
+    """Encodes groups of texts; remembers units and pairs of neighbours, each up to a number of bytes."""
 
     def __init__(self, path: str):
         self.p = Pieces(path)
         self.forget()
-        self.pair_code, self.pair_good = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pair_code, self.pair_good, self.pairs = np.zeros(0, np.int64), np.zeros(0, bool), {}
 
     def forget(self) -> None:
-        self.hash, self.begin, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.hash, self.begin, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _verdict(self, left: int, right: int) -> bool:
+        return self.p.bpe(self.p.text[left] + self.p.text[right]) == [left, right]
+
+    def _pair(self, left: int, right: int) -> bool:
+        """Whether two pieces stay as they are when encoded together."""
+        if left == self.p.n or right == self.p.n:
+            return True
+        code = left * self.p.n + right
+        good = self.pairs.get(code)
+        if good is None:
+            if len(self.pairs) >= PAIRS // 16:
+                self.pairs.clear()
+            good = self.pairs[code] = self._verdict(left, right)
+        return good
 
     def _neighbours(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether each pair of pieces stays as it is when encoded together."""
-        code = left * (self.p.n + 1) + right
+        """_pair for arrays."""
+        code = left.astype(np.int64) * (self.p.n + 1) + right
         free = (left == self.p.n) | (right == self.p.n)
         at = np.searchsorted(self.pair_code, code)
         known = np.zeros(len(code), bool)
         inside = at < len(self.pair_code)
         known[inside] = self.pair_code[at[inside]] == code[inside]
-        new = np.unique(code[~known & ~free])
-        if len(new):
-            good = np.array([self.p.bpe(self.p.text[a] + self.p.text[b]) == [a, b] for a, b in zip((new // (self.p.n + 1)).tolist(), (new % (self.p.n + 1)).tolist())])
+        if not (known | free).all():
+            if len(self.pair_code) > PAIRS:
+                self.pair_code, self.pair_good, known = self.pair_code[:0], self.pair_good[:0], np.zeros(len(code), bool)
+            new = np.unique(code[~known & ~free])
+            good = np.array([self._verdict(a, b) for a, b in zip((new // (self.p.n + 1)).tolist(), (new % (self.p.n + 1)).tolist())])
             codes, goods = np.concatenate([self.pair_code, new]), np.concatenate([self.pair_good, good])
             order = np.argsort(codes, kind="stable")
             self.pair_code, self.pair_good = codes[order], goods[order]
@@ -144,111 +164,159 @@ class Encoder:
             return free
         return free | self.pair_good[np.minimum(at, len(self.pair_code) - 1)]
 
-    def _edges(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, piece) of each piece at each place of data, from a suffix array over the places `starts`."""
+    def _edges(self, view: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index in starts, size, piece) of each piece at each of the places `starts`, from a suffix array over them.
+
+        Suffixes are sorted by their first eight bytes, and deeper where a longer piece may stand.
+        """
         p = self.p
-        padded = np.zeros(len(data) + 8 * p.deep, np.uint8)
-        padded[: len(data)] = data
-        view = np.ndarray(len(data) + 8 * (p.deep - 1) + 1, ">u8", padded.data, strides=(1,))
-        keys = [view[starts + 8 * k].astype(np.uint64) for k in range(p.deep)]
-        order = np.lexsort(keys[::-1])
-        keys = [k[order] for k in keys]
-        starts = starts[order]
-
-        def bound(target: np.ndarray, upper: bool) -> np.ndarray:
-            lo, hi = np.zeros(len(target), np.int64), np.full(len(target), len(starts))
-            while (open_ := lo < hi).any():
-                mid = np.minimum((lo + hi) // 2, len(starts) - 1)
-                less, same = np.zeros(len(target), bool), np.ones(len(target), bool)
-                for k in range(p.deep):
-                    here = keys[k][mid]
-                    less |= same & (here < target[:, k])
-                    same &= here == target[:, k]
-                go = (less | (same & upper)) & open_
-                lo, hi = np.where(go, mid + 1, lo), np.where(open_ & ~go, mid, hi)
-            return lo
-
-        lo, hi = bound(p.low, False), bound(p.high, True)
-        n = hi - lo
-        piece = np.repeat(np.arange(len(n)), n)
-        at = starts[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        return at, at + p.size[piece], p.ids[piece]
-
-    def _encode_units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one unit after another, number of ids of each) for units without their one leading mark."""
+        first = view[starts].astype(np.uint64)
+        order = np.argsort(first, kind="stable")
+        first = first[order]
+        lo, hi = np.searchsorted(first, p.low[:, 0]), np.searchsorted(first, p.high[:, 0], "right")
+        whole = [(lo, hi, order, np.flatnonzero((hi > lo) & (p.size <= 8)))]
+        long = np.flatnonzero((hi > lo) & (p.size > 8))
+        if len(long):
+            step = np.zeros(len(order) + 1, np.int32)
+            np.add.at(step, lo[long], 1)
+            np.subtract.at(step, hi[long], 1)
+            some = order[np.cumsum(step[:-1]) > 0]
+            keys = [view[starts[some] + 8 * k].astype(np.uint64) for k in range(p.deep)]
+            deep = np.lexsort(keys[::-1])
+            keys = [k[deep] for k in keys]
+
+            def bound(target: np.ndarray, upper: bool) -> np.ndarray:
+                lo, hi = np.zeros(len(target), np.int64), np.full(len(target), len(some))
+                while (open_ := lo < hi).any():
+                    mid = np.minimum((lo + hi) // 2, len(some) - 1)
+                    less, same = np.zeros(len(target), bool), np.ones(len(target), bool)
+                    for k in range(p.deep):
+                        here = keys[k][mid]
+                        less |= same & (here < target[:, k])
+                        same &= here == target[:, k]
+                    go = (less | (same & upper)) & open_
+                    lo, hi = np.where(go, mid + 1, lo), np.where(open_ & ~go, mid, hi)
+                return lo
+
+            lo, hi = lo.copy(), hi.copy()
+            lo[long], hi[long] = bound(p.low[long], False), bound(p.high[long], True)
+            whole.append((lo, hi, some[deep], long))
+        at, piece = [], []
+        for lo, hi, places, which in whole:
+            n = (hi - lo)[which]
+            piece.append(np.repeat(which, n))
+            at.append(places[np.repeat(lo[which] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        at, piece = np.concatenate(at), np.concatenate(piece)
+        return at.astype(np.int32), p.size[piece].astype(np.int32), p.ids[piece].astype(np.int32)
+
+    def _relax(self, view: np.ndarray, starts: np.ndarray, origin: np.ndarray, wide: np.ndarray, last: np.ndarray, back: np.ndarray) -> None:
+        """Follows the edges that begin at `starts`: the last piece of each prefix that they end, and where it begins."""
+        at, size, piece = self._edges(view, starts)
+        alone = np.zeros(len(starts), bool)
+        alone[at[size == wide[at]]] = True
+        bare = np.flatnonzero(~alone).astype(np.int32)
+        at, size, piece = np.concatenate([at, bare]), np.concatenate([size, wide[bare]]), np.concatenate([piece, np.full(len(bare), self.p.n, np.int32)])
+        depth = (starts - origin)[at]
+        order = np.argsort(depth, kind="stable")
+        depth, at, piece = depth[order], at[order], piece[order]
+        start = starts[at]
+        end = start + size[order]
+        cuts = np.concatenate([[0], np.flatnonzero(depth[1:] != depth[:-1]) + 1, [len(depth)]])
+        many = np.flatnonzero(np.diff(cuts) >= FEW)
+        k, n_cuts = 0, len(cuts) - 1
+        while k < n_cuts:
+            following = int(np.searchsorted(many, k))
+            j = int(many[following]) if following < len(many) else n_cuts
+            if j > k:  # places of few units: one edge at a time
+                a, b = int(cuts[k]), int(cuts[j])
+                ends: dict[int, tuple[int, int]] = {}
+                for s, e, t, head in zip(start[a:b].tolist(), end[a:b].tolist(), piece[a:b].tolist(), (depth[a:b] == 0).tolist()):
+                    if not head:
+                        before = ends[s][0] if s in ends else int(last[s])
+                        if before < 0 or not self._pair(before, t):
+                            continue
+                    ends[e] = t, s
+                if ends:
+                    where = np.fromiter(ends, np.int64, len(ends))
+                    found = np.array(list(ends.values()), np.int32)
+                    last[where], back[where] = found[:, 0], found[:, 1]
+                k = j
+            else:
+                s, e, t = start[cuts[k] : cuts[k + 1]], end[cuts[k] : cuts[k + 1]], piece[cuts[k] : cuts[k + 1]]
+                if depth[cuts[k]]:
+                    reached = np.flatnonzero(last[s] >= 0)
+                    good = reached[self._neighbours(last[s[reached]], t[reached])]
+                    s, e, t = s[good], e[good], t[good]
+                last[e], back[e] = t, s
+                k += 1
+
+    def _encode_units(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one unit after another, number of ids of each) for units of spaces and characters; a zero byte follows each."""
         unknown = self.p.n
-        # A zero byte ends each unit; no piece has one.
-        data = np.frombuffer(b"".join(_MARK + t + b"\0" for t in texts), np.uint8)
-        size = np.array([len(t) + len(_MARK) for t in texts])
-        begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64)
-        stop = begin + size
+        padded = np.zeros(len(data) + 8 * self.p.deep, np.uint8)
+        padded[: len(data)] = data
+        view = np.ndarray(len(data) + 8 * (self.p.deep - 1) + 1, ">u8", padded.data, strides=(1,))
         inner = np.ones(len(data), bool)
         inner[stop] = False
-        chars = np.flatnonzero(((data & 0xC0) != 0x80) & inner)
-        start, end, piece = self._edges(data, chars)
-        width = np.where(data[chars] < 0x80, 1, np.where(data[chars] < 0xE0, 2, np.where(data[chars] < 0xF0, 3, 4)))
-        covered = np.zeros(len(data) + 1, np.int64)
-        covered[start] = np.maximum(covered[start], 1)
-        alone = np.zeros(len(data), bool)
-        wide = np.zeros(len(data), np.int64)
-        wide[chars] = width
-        alone[start[(end - start) == wide[start]]] = True
-        bare = chars[~alone[chars]]
-        start, end, piece = np.concatenate([start, bare]), np.concatenate([end, bare + wide[bare]]), np.concatenate([piece, np.full(len(bare), unknown)])
-        unit = np.searchsorted(begin, start, "right") - 1
-        origin = begin[unit]
-        depth = end - origin
-        order = np.argsort(depth, kind="stable")
-        start, end, piece, origin, depth = start[order], end[order], piece[order], origin[order], depth[order]
-        last, back = np.full(len(data) + 1, -1), np.zeros(len(data) + 1, np.int64)
-        cuts = np.concatenate([[0], np.flatnonzero(depth[1:] != depth[:-1]) + 1, [len(depth)]])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            s, e, t = start[a:b], end[a:b], piece[a:b]
-            good = s == origin[a:b]
-            inner_edge = np.flatnonzero(~good & (last[s] >= 0))
-            good[inner_edge] = self._neighbours(last[s[inner_edge]], t[inner_edge])
-            last[e[good]], back[e[good]] = t[good], s[good]
+        chars = np.flatnonzero(((data & 0xC0) != 0x80) & inner).astype(np.int32)
+        lead = data[chars]
+        wide = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))).astype(np.int32)
+        last, back = np.full(len(data) + 1, -1, np.int32), np.zeros(len(data) + 1, np.int32)
+        # More than one part only if there is one unit; a part's edges may end in the next one.
+        for lo in range(0, len(chars), INDEXED):
+            part = chars[lo : lo + INDEXED]
+            self._relax(view, part, begin[np.searchsorted(begin, part, "right") - 1].astype(np.int32), wide[lo : lo + INDEXED], last, back)
         if (last[stop] < 0).any():
             raise RuntimeError("a unit has no path of pieces")
-        steps, who, spot, live, cur = [], [], [], np.arange(len(texts)), stop.copy()
-        while len(live):
-            steps.append(last[cur])
-            who.append(live)
-            spot.append(back[cur])
+        tokens, units, spots, live, cur = [], [], [], np.arange(len(begin)), stop.copy()
+        step, steps = 0, []
+        while len(live) >= FEW:
+            tokens.append(last[cur])
             cur = back[cur]
+            units.append(live)
+            spots.append(cur)
+            steps.append(np.full(len(live), -step))
+            step += 1
             on = cur > begin[live]
             live, cur = live[on], cur[on]
-        step = np.concatenate([np.full(len(x), -k) for k, x in enumerate(who)])
-        token, unit, spot = np.concatenate(steps), np.concatenate(who), np.concatenate(spot)
+        for unit, c in zip(live.tolist(), cur.tolist()):
+            path, head = [c], int(begin[unit])
+            while c > head:
+                c = int(back[c])
+                path.append(c)
+            path = np.array(path, np.int64)
+            tokens.append(last[path[:-1]])
+            units.append(np.full(len(path) - 1, unit))
+            spots.append(path[1:])
+            steps.append(-step - np.arange(len(path) - 1))
+        token, unit, spot, step = (np.concatenate(x) for x in (tokens, units, spots, steps))
         order = np.lexsort((step, unit))
         token, unit, spot = token[order], unit[order], spot[order]
-        many = np.where(token == unknown, wide[spot], 1)
+        lead = data[spot]
+        many = np.where(token == unknown, np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))), 1)
         ids = np.repeat(token, many)
-        offset = np.arange(len(ids)) - np.repeat(np.cumsum(many) - many, many)
-        raw = ids == unknown
-        ids[raw] = self.p.byte[data[(np.repeat(spot, many) + offset)[raw]]]
-        return ids.astype(np.int32), np.bincount(unit, weights=many, minlength=len(texts)).astype(np.int64)
+        raw = np.flatnonzero(ids == unknown)
+        offset = raw - np.repeat(np.cumsum(many) - many, many)[raw]
+        ids[raw] = self.p.byte[data[np.repeat(spot, many)[raw] + offset]]
+        return ids, np.bincount(unit, weights=many, minlength=len(begin)).astype(np.int32)
 
     def _learn(self, w: tb.Words, spaces: np.ndarray, hashes: np.ndarray, some: np.ndarray) -> None:
         """Encodes the units `some` (one for each new hash) and remembers them."""
-        if len(self.hash) + len(some) > REMEMBERED:
-            self.forget()
-        one = some[(spaces[some] == 1) & (w.end[some] > w.start[some])]
-        rest = np.setdiff1d(some, one)
         parts, counts = [], []
-        part = (np.cumsum(w.end[one] - w.start[one] + 4) - 1) // INDEXED
-        for units in np.split(one, np.flatnonzero(np.diff(part)) + 1) if len(one) else []:
-            ids, count = self._encode_units([w.text(k) for k in units.tolist()])
+        part = (np.cumsum(w.end[some] - w.start[some] + spaces[some] + 1) - 1) // INDEXED
+        for units in np.split(some, np.flatnonzero(np.diff(part)) + 1):
+            size = w.end[units] - w.start[units]
+            stop = np.cumsum(size + spaces[units] + 1) - 1
+            data = np.full(int(stop[-1]) + 1, 0x20, np.uint8)
+            data[stop] = 0
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            data[np.repeat(stop - size, size) + inner] = w.data[np.repeat(w.start[units], size) + inner]
+            ids, count = self._encode_units(data, stop - size - spaces[units], stop)
             parts.append(ids)
             counts.append(count)
-        for k in rest.tolist():
-            ids = self.p.bpe(MARK * int(spaces[k]) + w.text(k).decode())
-            parts.append(np.array(ids, np.int32))
-            counts.append(np.array([len(ids)]))
-        count = np.concatenate(counts).astype(np.int64)
-        begin = len(self.ids) + np.cumsum(count) - count
-        hashes = np.concatenate([self.hash, hashes[np.concatenate([one, rest])]])
-        begin, count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
+        count = np.concatenate(counts)
+        begin = (len(self.ids) + np.cumsum(count) - count).astype(np.int32)
+        hashes, begin, count = np.concatenate([self.hash, hashes[some]]), np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
         order = np.argsort(hashes, kind="stable")
         self.hash, self.begin, self.count = hashes[order], begin[order], count[order]
         self.ids = np.concatenate([self.ids, *parts])
@@ -279,14 +347,13 @@ class Encoder:
         inside = at < len(self.hash)
         known[inside] = self.hash[at[inside]] == distinct[inside]
         if not known.all():
-            if len(self.hash) + int((~known).sum()) > REMEMBERED:
-                self.forget()
-                known[:] = False
             self._learn(units, spaces, h, first[~known])
             at = np.searchsorted(self.hash, distinct)
         begin, count = self.begin[at][back], self.count[at][back]
-        total = np.concatenate([[0], np.cumsum(count)])
+        total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         ids = self.ids[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
+        if 16 * len(self.hash) + 4 * len(self.ids) > HELD:
+            self.forget()
         return ids, total[units.first]
 
 
@@ -318,6 +385,7 @@ def encoded(documents: DataFrame, text: str = "text", model: str | None = None,
 
     A round trip allows for U+2581, which decodes to a space. Input columns named ids or round_trip are left out.
     """
+    shared.bounded_batches(documents.sparkSession)
     keep = tuple(c for c in (keep if keep is not None else documents.columns) if c not in ("ids", "round_trip"))
     path = model or default_model()
     # A text that is kept is sent to the workers once.
@@ -337,6 +405,7 @@ def encoded(documents: DataFrame, text: str = "text", model: str | None = None,
                 null = column.slice(lo, hi - lo).is_null().to_numpy(zero_copy_only=False)
                 lists = _masked(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32())), null)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(keep))), lists, _masked(pa.array(same, pa.bool_()), null)], names=[*keep, "ids", "round_trip"])
+        shared.release()
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in documents.select(*[F.col(f"`{c}`") for c in keep]).dtypes), "ids array<int>", "round_trip boolean"])
     return rows.mapInArrow(run, schema)

@@ -2,24 +2,59 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.storage import fresh, remove
 
 
-__all__ = ["fresh", "mapped", "publish", "remove", "written"]
+__all__ = ["bounded_batches", "fresh", "mapped", "publish", "release", "remove", "shuffles_removed", "written"]
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that go to a Python worker at once.
+BATCH = 8 << 20
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs here go when it ends, and not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on whole texts reach Python workers in batches of bounded bytes, for the whole session; a lower bound stays."""
+    named = spark.conf.get(_BATCH, None)
+    if not named or not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(named) <= BATCH:
+        spark.conf.set(_BATCH, str(BATCH))
+
+
+def release() -> None:
+    """Gives a worker's free memory back, as idle workers live on beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     """df as a table in the shared folder: its lineage is cut, and a lost executor loses nothing of it."""
     path = fresh(df.sparkSession, kind)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

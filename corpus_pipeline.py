@@ -5,7 +5,7 @@ Parquet to the shared folder and reads it again for the next one. All but the la
 return the columns that they were given.
 
 Cases that a stage's operator defines hold here too. Beyond them: near-dedup keeps rows
-whose id is null, and one row of those with the same id; a text that is null stays null
+whose id is null, and one row of those with the same id and text; a text that is null stays null
 until the secret scan, which makes it empty. The learned rules and the near-duplicate
 groups have no SQL, so ORACLE_SQL is None; tests hold the stages against brute force.
 """
@@ -17,10 +17,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm import decontaminate, near_dedup, piece_codec, quality_rules, secret_scan, shared
 
 
-#: Bytes of rows that go to a Python worker at once: whole documents are sent along with their texts.
-BATCH = "8m"
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and the decision list learned from `labels`."""
     rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -37,12 +33,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
         return out
-    return out.filter("doc_id IS NULL").union(out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    return out.filter("doc_id IS NULL").union(out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     judged = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
     return judged.filter("NOT contaminated").select(*[F.col("kept")[c].alias(c) for c in docs.columns])
 
@@ -59,7 +54,6 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the ids of their pieces and whether these decode to the text."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return piece_codec.encoded(docs)
 
 

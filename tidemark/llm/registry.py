@@ -8,10 +8,9 @@ QUERIES: dict = {
     "op1_quality_rules": quality_rules.query,
     "op2_language_model": language_model.query,
     "op3_line_dedup": line_dedup.query,
-    "op3_passage_dedup": line_dedup.passage_query,
     "op4_near_dedup": near_dedup.query,
     "op5_secret_scan": secret_scan.query,
-    "op6_decontaminate": decontaminate.digest_query,
+    "op6_decontaminate": decontaminate.query,
     "op7_license_scan": license_scan.query,
     "op8_piece_codec": piece_codec.query,
     "op9_url_filter": url_filter.query,

@@ -1,33 +1,47 @@
-"""Main text of web pages: boilerplate by its markup, and site templates by their recurrence.
-
-A page is parsed into a tree (unclosed and misnested tags are closed as browsers do).
-Its content is what its article elements hold, else its main element, else its body.
-From the content go menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments, known by tag, role, class or id, and site templates: element
-subtrees that recur on many pages of the page's host.
-
-For the latter every page's block elements are hashed with all below them and counted
-per host in Spark, once for each different article text, so copies of one article are no
-template. Headings, paragraphs, list items, quotes, tables and preformatted text inside
-the content are the text itself and are never taken for a template; neither is
-the content's own element nor one around it.
+"""Main text of web pages: site templates by their recurrence go first, then boilerplate by its markup.
+
+1. Every page is parsed into a tree (unclosed and misnested tags are closed as browsers
+   do), and each block element is hashed with all below it. The hashes are counted per host
+   in Spark, once for each different article text, so copies of one article are no
+   template: a subtree that stands on `min_pages` or more different articles is one.
+   Menus whose words vary are hashed by their shell, the structure without the text, if
+   they are mostly links; a shell is a template if it also holds a small share of its pages.
+2. The templates of a page's host are deleted from its tree.
+3. What remains is read by markup: the content is what the page's article elements hold,
+   else its main element, else its body; from it go menus, headers, footers, sidebars,
+   notices, adverts, forms, scripts, styles and comments, known by tag, role, or the
+   names of class and id.
+
+Never templates are article and main elements, those around them, the body, and text blocks
+(headings, paragraphs, list items, quotes, tables, preformatted text) inside an article or
+main element, so that repeated text of articles stays. Names of class and id are
+compared whole, but for parts that only say where a thing stands (site-footer); they never
+rule out an element that holds more than half of the content, or what is around an article.
+An article so named, as a reader's comment is, goes only beside another one or if it holds
+less than half of the page; one whose text is all links goes beside another one.
 
 Blocks are joined by one newline; white space within a block is one space; a line break
 element counts as white space. Character references are decoded after the tags are read.
 
+Templates are sent to the workers as a sorted array while they are at most
+`BROADCAST_TEMPLATES`; beyond that each page is joined with its own. The result is the same.
+
 Defined cases: null or empty html has an empty text; a null url belongs to the empty
 host; a tag cut off at the end of the html is dropped. Rows with the same id are told
-apart by a hash of their html; repeated rows give repeated rows. Other columns are not read.
+apart by a hash of their html; repeated rows give repeated rows. Parsing takes time in
+proportion to a page's length, however its tags are nested. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,6 +51,10 @@ from tidemark.llm.url_filter import host_of
 
 #: Different article texts of a host on which a subtree must stand to be a template.
 MIN_PAGES = 5
+#: Share of a page's text that a shell may hold on average, and share of links from which a subtree is a menu.
+SHELL_SHARE, MENU = 0.2, 0.5
+#: As many templates (8 bytes each) may be sent to the workers.
+BROADCAST_TEMPLATES = 2_000_000
 
 # Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,8 +62,12 @@ RAW = frozenset("iframe noembed noframes noscript script style template textarea
 TEXT_BLOCKS = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary table tbody td tfoot th thead tr".split())
 BLOCKS = TEXT_BLOCKS | frozenset("address article aside body center dialog dir div dl details fieldset figure footer form header hgroup hr html main menu nav ol search section ul".split())
 DROPPED = RAW | frozenset("aside audio button canvas dialog footer form head header input menu nav object option search select svg video".split())
+#: Tags that rule out an article below them.
+ASIDE = RAW | frozenset("aside audio button canvas dialog footer head menu nav object select svg video".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MARKS = frozenset("ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice notices popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Parts of a name that say where a marked thing stands, or that it holds several.
+PLACES = frozenset("area bar block bottom box buttons container global item items left links list main mobile page panel primary right secondary section site thread top wrap wrapper".split())
 #: An opening tag closes these open elements, up to the nearest of the second set.
 CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
@@ -53,7 +75,8 @@ CLOSES = {
     "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-_SCOPE = frozenset(["td", "th", "table", "button", "caption", "html", "object", "template"])
+_SCOPE = ("td", "th", "table", "button", "caption", "html", "object", "template")
+_CONTENT = ("article", "body", "main")
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -65,32 +88,53 @@ class Node:
     attributes: str = ""
     children: list = field(default_factory=list)  # of str and Node
     digest: int = 0
-
-    def marked(self) -> bool:
-        """Whether markup says that this is no content."""
+    shell: int = 0
+    size: int = 0  # characters of its text that aren't white space
+    linked: int = 0  # those of them that are in links
+    holds: bool = False  # an article or main element is below it
+    _found: dict | None = None
+
+    def found(self) -> dict[str, str]:
+        if self._found is None:
+            self._found = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(self.attributes)} if self.attributes and not self.attributes.isspace() else {}
+        return self._found
+
+    def hidden(self) -> bool:
+        """Whether tag or role say that this is no content."""
         if self.tag in DROPPED:
             return True
-        if not self.attributes or self.attributes.isspace():
-            return False
-        found = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(self.attributes)}
-        if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", found.get("style", "")):
-            return True
-        return any(w in MARKS for name in ("class", "id") for w in re.split(r"[^a-z0-9]+", found.get(name, "").lower()))
+        found = self.found()
+        return bool(found) and ("hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", found.get("style", "")) is not None)
+
+    def named(self) -> bool:
+        """Whether a name of class or id says so."""
+        for name in ("class", "id"):
+            for word in self.found().get(name, "").lower().split():
+                if word in MARKS:
+                    return True
+                parts = re.split(r"[-_]+", word)
+                if any(p in MARKS for p in parts) and all(p in MARKS or p in PLACES for p in parts):
+                    return True
+        return False
 
 
 def parse(html: str) -> Node:
     root = Node("#page")
     stack = [root]
-    opened: Counter[str] = Counter()
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag's elements are
     at, end = 0, len(html)
 
+    def top(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(k: int) -> None:
-        opened.subtract(n.tag for n in stack[k:])
+        for n in stack[k:]:
+            places[n.tag].pop()
         del stack[k:]
 
     def enter(node: Node) -> None:
+        places[node.tag].append(len(stack))
         stack.append(node)
-        opened[node.tag] += 1
 
     while at < end:
         m = _TAG.search(html, at)
@@ -104,38 +148,26 @@ def parse(html: str) -> Node:
         if not tag or (m[4] or m[8]) != ">":
             continue
         if m[1] or m[5]:
-            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in ("article", "body", "main") and tag not in ("body", "html"):
-                    break
+            k = top(tag)
+            if k and (tag in ("body", "html") or k >= top(*_CONTENT)):
+                close(k)
             continue
         if tag in BLOCKS:  # closes an open paragraph
-            for k in range(len(stack) - 1, 0, -1) if opened["p"] else ():
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in _SCOPE:
-                    break
-        if tag in CLOSES and any(opened[t] for t in CLOSES[tag][0]):
+            k = top("p")
+            if k > top(*_SCOPE):
+                close(k)
+        if tag in CLOSES:
             gone, until = CLOSES[tag]
-            k = len(stack) - 1
-            cut = None
-            while k > 0 and stack[k].tag not in until:
-                if stack[k].tag in gone:
-                    cut = k
-                k -= 1
-            if cut is not None:
+            edge = top(*until)
+            cut = min((places[t][j] for t in gone if places.get(t) and (j := bisect_right(places[t], edge)) < len(places[t])), default=0)
+            if cut:
                 close(cut)
         node = Node(tag, m[3] or m[7] or "")
         stack[-1].children.append(node)
         if tag in RAW:
             found = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = found.end() if found else end
-        elif tag not in VOID and not node.attributes.endswith("/"):
-            enter(node)
-        elif tag not in VOID and tag in BLOCKS | {"b", "i", "em", "strong", "span", "a"}:
+        elif tag not in VOID and (not node.attributes.endswith("/") or tag in BLOCKS or tag in ("b", "i", "em", "strong", "span", "a")):
             enter(node)  # a slash on such a tag means nothing in HTML
     return root
 
@@ -151,33 +183,88 @@ def _walk(node: Node) -> Iterator[tuple[Node, bool]]:
             todo += [(c, False) for c in reversed(n.children) if isinstance(c, Node)]
 
 
-def digests(page: Node) -> None:
-    """Hashes each element with all that is below it."""
+def _hash(parts: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "replace"))
+
+
+def measured(page: Node) -> Node:
+    """Hashes each element with all that is below it, with and without its text, and counts its characters."""
+    for n, leaving in _walk(page):
+        if not leaving:
+            continue
+        exact, shell, size, linked = [n.tag], [n.tag, " ".join(sorted(n.found().get("class", "").split())), n.found().get("id", "")], 0, 0
+        for c in n.children:
+            if isinstance(c, Node):
+                exact.append(f"<{c.digest:x}>")
+                if shell[-1] != f"<{c.shell:x}>":  # as many like ones as there may be
+                    shell.append(f"<{c.shell:x}>")
+                n.holds |= c.holds or c.tag in ("article", "main")
+                if c.tag not in RAW:
+                    size += c.size
+                    linked += c.linked
+            else:
+                words = c.split()
+                exact.append(" ".join(words))
+                size += sum(map(len, words))
+        n.size, n.linked = size, size if n.tag == "a" else linked
+        n.digest, n.shell = _hash(exact), _hash(["shell", *shell])
+    return page
+
+
+def candidates(page: Node) -> dict[int, int]:
+    """Hashes of the subtrees of a measured page that may be templates, and the characters that they hold on it. Shells have the last bit set."""
+    out: dict[int, int] = defaultdict(int)
+    inside = 0
+    for n, leaving in _walk(page):
+        content = n.tag in _CONTENT
+        if n.tag in ("article", "main"):
+            inside += -1 if leaving else 1
+        if leaving or content or n.tag not in BLOCKS or n.tag == "html" or n.holds or not n.children:
+            continue
+        if not (inside and n.tag in TEXT_BLOCKS):
+            out[n.digest & ~1] += n.size
+        if not inside and n.size and n.linked >= MENU * n.size and n.tag not in TEXT_BLOCKS:
+            out[n.shell | 1] += n.size
+    return dict(out)
+
+
+def without(page: Node, templates) -> Node:
+    """The page with the subtrees whose hash `templates` has replaced by the end of a block."""
+    inside = 0
     for n, leaving in _walk(page):
+        if n.tag in ("article", "main"):
+            inside += -1 if leaving else 1
         if leaving:
-            parts = [n.tag] + [f"<{c.digest:x}>" if isinstance(c, Node) else " ".join(c.split()) for c in n.children]
-            n.digest = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "replace"))
+            continue
+        for k, c in enumerate(n.children):
+            if isinstance(c, Node) and c.tag in BLOCKS and c.tag not in _CONTENT and c.tag != "html" and not c.holds and c.children:
+                exact = not (inside and c.tag in TEXT_BLOCKS) and c.digest & ~1 in templates
+                if exact or (not inside and c.tag not in TEXT_BLOCKS and c.size and c.linked >= MENU * c.size and c.shell | 1 in templates):
+                    n.children[k] = Node("hr")
+    return page
 
 
 def contents(page: Node) -> list[Node]:
-    """The outermost article elements that markup doesn't rule out, else main elements, else the body or the page."""
+    """The outermost article elements, else main elements, else the body or the page."""
     for wanted in ("article", "main"):
         found, skip = [], None
         for n, leaving in _walk(page):
-            if skip is None and not leaving and (n.tag == wanted or wanted == "main" and re.search(r"""role\s*=\s*["']?main\b""", n.attributes)):
-                if not n.marked():
-                    found.append(n)
+            if skip is not None:
+                skip = None if leaving and n is skip else skip
+            elif not leaving and (n.tag == wanted or wanted == "main" and n.found().get("role", "").lower() == "main"):
+                found.append(n)
                 skip = n
-            elif skip is None and not leaving and n.marked():
+            elif not leaving and (n.tag in ASIDE or n.hidden() and n.tag not in ("form", "header")):
                 skip = n
-            elif leaving and n is skip:
-                skip = None
-        if found:
+        for ruled_out in (Node.hidden, Node.named, lambda n: n.size > 0 and n.linked == n.size):
+            kept = [n for n in found if not ruled_out(n)]
+            found = kept or found
+        if found and not (wanted == "article" and all(n.named() for n in found) and 2 * sum(n.size for n in found) < page.size):
             return found
     return next(([n] for n, _ in _walk(page) if n.tag == "body"), [page])
 
 
-def blocks(content: Node, templates: frozenset[int] = frozenset()) -> list[str]:
+def blocks(content: Node) -> list[str]:
     """Texts of the content's blocks, in page order."""
     out: list[str] = []
     line: list[str] = []
@@ -197,7 +284,7 @@ def blocks(content: Node, templates: frozenset[int] = frozenset()) -> list[str]:
             line.append(n)
         elif n.tag == "br":
             line.append(" ")
-        elif n is not content and (n.marked() or (n.digest in templates and n.tag in BLOCKS - TEXT_BLOCKS)):
+        elif n is not content and (n.hidden() or n.named() and (2 * n.size <= content.size or n.tag == "article")):
             if n.tag in BLOCKS:
                 flush()
         else:
@@ -213,81 +300,85 @@ def blocks(content: Node, templates: frozenset[int] = frozenset()) -> list[str]:
     return out
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >= 1 << 63 else value
+def main_text(page: Node) -> str:
+    """The text of a measured page."""
+    return "\n".join(t for c in contents(page) for t in blocks(c)).encode("utf-8", "replace").decode()
 
 
-def _subtrees(page: Node, found: list[Node]) -> tuple[set[int], set[int]]:
-    """Hashes of the page's block subtrees that may be templates, and of those within the content."""
-    every, within = set(), set()
-    above = {id(f) for f in found}
-    path: list[Node] = []
-    for n, leaving in _walk(page):
-        if leaving:
-            path.pop()
-            continue
-        if id(n) in above:
-            above |= {id(p) for p in path}
-        path.append(n)
-    depth = 0
-    roots = {id(f) for f in found}
-    for n, leaving in _walk(page):
-        if id(n) in roots:
-            depth += -1 if leaving else 1
-        if not leaving and id(n) not in above and n.tag in BLOCKS and not (depth and n.tag in TEXT_BLOCKS) and n.children:
-            every.add(_signed(n.digest))
-            if depth:
-                within.add(_signed(n.digest))
-    return every, within
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _read(html: str | None) -> tuple[Node, list[Node]]:
-    page = parse(html or "")
-    digests(page)
-    return page, contents(page)
+def _own(host: str, subtree: int) -> int:
+    """A subtree's hash on one host."""
+    return xxhash.xxh3_64_intdigest(f"{host}\x00{subtree:x}".encode("utf-8", "replace"))
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["page_id", "of_html", "own", "shell", "article", "share"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float32()]
     for batch in batches:
         rows: list[tuple] = []
         for page_id, host, of_html, html in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            page, found = _read(html)
-            text = "\n".join(t for f in found for t in blocks(f))
-            article = _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")))
-            every, within = _subtrees(page, found)
-            rows += [(page_id, of_html, host, h, article, h in within) for h in every]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()])], names=["page_id", "of_html", "host", "subtree", "article", "within"])
+            page = measured(parse(html or ""))
+            article = _signed(xxhash.xxh3_64_intdigest(main_text(page).encode()))
+            rows += [(page_id, of_html, _signed(_own(host, h)), bool(h & 1), article, size / max(1, page.size)) for h, size in candidates(page).items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+    shared.release()
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """page_id, of_html, host, subtree, article, within; of (page_id, host, of_html, html)."""
-    return pages.select("page_id", "host", "of_html", "html").mapInArrow(_hashes, "page_id long, of_html long, host string, subtree long, article long, within boolean")
+    """page_id, of_html, own (hash of host and subtree), shell, article, share; of (page_id, host, of_html, html)."""
+    return pages.select("page_id", "host", "of_html", "html").mapInArrow(_subtrees, "page_id long, of_html long, own long, shell boolean, article long, share float")
 
 
 def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, subtree) of subtrees that stand on `min_pages` or more different articles of the host."""
-    return found.select("host", "subtree", "article").distinct().groupBy("host", "subtree").count().filter(F.col("count") >= min_pages).select("host", "subtree")
+    """own, of subtrees that stand on `min_pages` or more different articles of their host; shells hold little of them."""
+    one = found.groupBy("own", "shell", "article").agg(F.max("share").alias("share"))
+    counted = one.groupBy("own", "shell").agg(F.count("*").alias("n"), F.avg("share").alias("share"))
+    return counted.filter((F.col("n") >= min_pages) & (~F.col("shell") | (F.col("share") <= SHELL_SHARE))).select("own")
+
+
+class _Held:
+    """The templates of one host, looked up in a sorted array of all hosts' ones."""
+
+    def __init__(self, host: str, keys: np.ndarray):
+        self.host, self.keys = host, keys
+
+    def __contains__(self, subtree: int) -> bool:
+        own = np.int64(_signed(_own(self.host, subtree)))
+        at = int(np.searchsorted(self.keys, own))
+        return at < len(self.keys) and self.keys[at] == own
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """One row a page: page_id, url, text and n_chars."""
+    spark = pages.sparkSession
+    shared.bounded_batches(spark)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(html).cast("string").alias("html"))
     rows = rows.withColumn("of_html", F.xxhash64("html"))
     found, _ = shared.written(subtrees(rows), "subtrees")
-    here = found.filter("within").select("page_id", "of_html", "host", "subtree").distinct()
-    cut = here.join(templates(found, min_pages), ["host", "subtree"], "left_semi").groupBy("page_id", "of_html").agg(F.collect_set("subtree").alias("cut"))
-    cut = cut.select(F.col("page_id").alias("cut_id"), F.col("of_html").alias("cut_html"), "cut")
-    joined = rows.join(cut, F.col("page_id").eqNullSafe(F.col("cut_id")) & (F.col("of_html") == F.col("cut_html")), "left")
+    known, _ = shared.written(templates(found, min_pages), "templates")
+    if known.count() <= BROADCAST_TEMPLATES:
+        keys = spark.sparkContext.broadcast(np.sort(np.array([r["own"] for r in known.toLocalIterator()], np.int64)))
+        joined = rows.withColumn("cut", F.lit(None).cast("array<bigint>"))
+    else:
+        keys = None
+        here = found.select("page_id", "of_html", "own").distinct().join(known.hint("merge"), "own")
+        cut = here.groupBy(F.col("page_id").alias("cut_id"), F.col("of_html").alias("cut_html")).agg(F.collect_set("own").alias("cut"))
+        joined = rows.join(cut, F.col("page_id").eqNullSafe(F.col("cut_id")) & (F.col("of_html") == F.col("cut_html")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                known = frozenset(g & 0xFFFFFFFFFFFFFFFF for g in gone or ())
-                texts.append("\n".join(t for f in _read(source)[1] for t in blocks(f, known)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return joined.select("page_id", "url", "html", "cut").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            for host, source, own in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                page = measured(parse(source or ""))
+                held = _Held(host, keys.value if keys is not None else np.sort(np.array(own or (), np.int64)))
+                texts.append(main_text(measured(without(page, held)) if len(held.keys) else page))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        shared.release()
+
+    return joined.select("page_id", "url", "host", "html", "cut").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

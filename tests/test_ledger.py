@@ -190,3 +190,76 @@ def test_set_operators(spark):
     graph = G.edges(df)
     assert rows(G.neighbours(graph)) == [(1, "A", 0, 1), (2, "A", 1, 0), (3, "B", 1, 1)]
     assert rows(G.both_ends(graph, 1)) == [(3, "B")]
+
+
+def test_small_sides_are_broadcast_whatever_the_threshold(spark, tmp_path):
+    """Neither the averages nor the rates move the ledger, though Spark would estimate both as large."""
+    big = ledger(spark, [tx(amount=float(k)) for k in range(50)]).crossJoin(spark.range(400).select(F.col("id").alias("copy")))
+    big.write.parquet(str(tmp_path / "ledger"))
+    df = spark.read.parquet(str(tmp_path / "ledger"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20")
+    try:
+        for made in (U.far_below_average(df), U.converted(df, R.fixed(spark)), U.converted(df, R.daily(spark, {dt.date(2022, 9, 1): {"Euro": 2.0}}).union(R.fixed(spark)))):
+            plan = made._jdf.queryExecution().sparkPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+            joined = made._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(payment_format" not in joined and "hashpartitioning(payment_currency" not in joined
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rates_of_unknown_size_are_not_broadcast(spark):
+    many = R.fixed(spark).rdd.toDF(R.RATES)
+    assert "broadcast" not in R.storage.small(many)._jdf.queryExecution().analyzed().toString()
+    df = ledger(spark, [tx(currency="Euro", kind="ACH", amount=0.9)])
+    assert [r.amount_paid for r in R.converted(df, many).collect()] == [pytest.approx(0.981)]
+
+
+def test_hubs_are_dealt_out(spark):
+    """A hub of 40 x 40 paths beside ordinary nodes, in parts of 100 paths."""
+    hub, day = (5, "hub"), "2022/09/02 10:00"
+    out = [tx(day, (1, f"a{k}"), hub) for k in range(40)] + [tx(day, hub, (2, f"c{k}")) for k in range(40)]
+    edges = U.scatter_gather_edges(ledger(spark, out + scatter()))
+    want = rows(G.pair_counts(edges, 1, prune=False, salt=1))
+    assert rows(G.pair_counts(edges, 1, prune=False, paths=100)) == want == rows(G.pair_counts(edges, 1, prune=False, paths=10**9)) and len(want) > 1600
+    left = edges.select(F.col("dst_bank").alias("b_bank"), F.col("dst_account").alias("b_account"))
+    right = edges.select(F.col("src_bank").alias("b_bank"), F.col("src_account").alias("b_account"))
+    assert rows(G.hubs(left, right, ["b_bank", "b_account"], 100)) == [(5, "hub", 16)]
+
+
+def test_null_amounts_are_never_largest(spark):
+    df = ledger(spark, [tx(a=(1, "A"), amount=None), tx(a=(1, "B"), amount=2.0), tx(a=(3, "C"), amount=None)])
+    for f in (A.largest_payment, A.largest_payment_in_one_pass, A.largest_payment_by_rank):
+        assert rows(f(df)) == [(1, "B", 2.0)]
+
+
+def test_numbers_have_no_gaps(spark, tmp_path):
+    df = spark.range(1000).repartition(7).filter("id % 3 > 0")
+    got = sinks.numbered(df)
+    assert sorted(r["index"] for r in got.collect()) == list(range(df.count())) and got.columns == ["index", "id"]
+    assert sinks.numbered(df.limit(0)).count() == 0
+
+
+def test_report_lines(spark):
+    from tidemark.plans import reports
+
+    df = ledger(spark, [tx(a=(11, "A"), amount=10.5)])
+    assert reports.low_value(df).first().line == f"origin: {'11-A':<20} destination: {'2-B':<20} amount: 10.5"
+    assert reports.far_below_average(df).first().line == f"bank_id: {11:<20} account: {'A':<20} payment_format: {'Cash':<20} amount: 10.5"
+    assert reports.scatter_gather(df.select(F.col("from_bank").alias("bank"), F.col("from_account").alias("account"))).first().line == f"bank: {11:<20} account: A"
+    assert reports.small_transfers(spark.range(3, 4).toDF("n_transfers")).first().line == "count: 3"
+
+
+def test_client_reports_are_ordered_files(spark, tmp_path):
+    lines = spark.createDataFrame([(1, "b"), (2, "x"), (1, "a")], "client_id int, line string")
+    sinks.write_client_reports({"UC1": lines, "UC5": lines.filter("line = 'x'")}, lines.select("client_id").distinct(), str(tmp_path / "r"), ordered=True)
+    read = lambda c: [x for p in sorted((tmp_path / "r" / f"client_id={c}").glob("part*")) for x in p.read_text().splitlines()]
+    assert read(1) == ["--- UC1 ---", "a", "b", "--- UC5 ---"] and read(2) == ["--- UC1 ---", "x", "--- UC5 ---", "x"]
+
+
+def test_rates_of_a_service(spark):
+    day = dt.date(2022, 9, 1)
+    got = {r.currency: r.usd_rate for r in R.of_service(spark, {day: {"USD": 1.0, "GBP": 0.8}}).collect()}
+    assert got == {"US Dollar": 1.0, "Euro": 1.0, "UK Pound": pytest.approx(1.25), "Bitcoin": 20131.46, "Ruble": 0.01, "Saudi Riyal": 0.27}
+    assert {r.currency: r.usd_rate for r in R.of_service(spark, {dt.date(2023, 1, 1): {"USD": 1.0}}).collect()}["Bitcoin"] == 78.33

@@ -12,8 +12,9 @@ def largest_payment(rows: DataFrame, by: Keys = ()) -> DataFrame:
 
     Amounts alone are aggregated by hash; the few rows that reach their bank's maximum then give the
     account. Aggregating (amount, account) together would sort every row: Spark has no hash aggregate
-    for structs and strings. Amounts that are null are never the largest.
+    for structs and strings. Amounts that are null are never the largest; a bank with no others is left out.
     """
+    rows = rows.filter(F.col("amount_paid").isNotNull())
     top = rows.groupBy(*by, "from_bank").agg(F.max("amount_paid").alias("amount_paid"))
     at_top = rows.select(*by, "from_bank", "from_account", "amount_paid").join(top, [*by, "from_bank", "amount_paid"], "left_semi")
     return at_top.groupBy(*by, "from_bank", "amount_paid").agg(F.max("from_account").alias("from_account")).select(*by, "from_bank", "from_account", "amount_paid")
@@ -22,13 +23,13 @@ def largest_payment(rows: DataFrame, by: Keys = ()) -> DataFrame:
 def largest_payment_in_one_pass(rows: DataFrame, by: Keys = ()) -> DataFrame:
     """The same as one aggregate, for streams, which can't read their rows twice."""
     top = F.max(F.struct("amount_paid", "from_account"))
-    return rows.groupBy(*by, "from_bank").agg(top.alias("_top")).select(*by, "from_bank", F.col("_top.from_account").alias("from_account"), F.col("_top.amount_paid").alias("amount_paid"))
+    return rows.filter(F.col("amount_paid").isNotNull()).groupBy(*by, "from_bank").agg(top.alias("_top")).select(*by, "from_bank", F.col("_top.from_account").alias("from_account"), F.col("_top.amount_paid").alias("amount_paid"))
 
 
 def largest_payment_by_rank(rows: DataFrame, by: Keys = ()) -> DataFrame:
     """The same by a window; Spark prunes each partition to its first row before the shuffle."""
     order = W.partitionBy(*by, "from_bank").orderBy(F.desc("amount_paid"), F.desc("from_account"))
-    return rows.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").select(*by, "from_bank", "from_account", "amount_paid")
+    return rows.filter(F.col("amount_paid").isNotNull()).withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").select(*by, "from_bank", "from_account", "amount_paid")
 
 
 def bank_names(accounts: DataFrame, by: Keys = ()) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark import storage
 from tidemark.schema import EDGE
 
 Keys = tuple[str, ...]
+#: Paths through one intermediary that a task makes, about.
+PATHS = 4_000_000
 SRC, DST = EDGE[:2], EDGE[2:]
 
 
@@ -42,24 +45,40 @@ def second_hops(graph: DataFrame, k: int, by: Keys = ()) -> DataFrame:
     return graph.join(high_in(graph, k, by).select(*by, *DST), [*by, *DST], "left_semi")
 
 
-def pair_counts(graph: DataFrame, k: int, by: Keys = (), prune: bool = True, salt: int = 1) -> DataFrame:
+def hubs(left: DataFrame, right: DataFrame, on: list[str], paths: int) -> DataFrame:
+    """Intermediaries with more than `paths` paths through them, and over how many tasks these are dealt."""
+    into, out = left.groupBy(*on).agg(F.count("*").alias("n_in")), right.groupBy(*on).agg(F.count("*").alias("n_out"))
+    return into.join(out, on).filter(F.col("n_in") * F.col("n_out") > paths).select(*on, F.ceil(F.least(F.col("n_in") * F.col("n_out") / paths, F.col("n_in"))).alias("_parts"))
+
+
+def pair_counts(graph: DataFrame, k: int, by: Keys = (), prune: bool = True, salt: int | None = None, paths: int = PATHS) -> DataFrame:
     """(origin, destination, n) of different nodes with n >= k different intermediaries.
 
-    Pruning by degree loses no pair and comes before the join that multiplies rows. With salt > 1
-    the edges into each intermediary are dealt to that many tasks, and the edges out of it are
-    repeated for each: a hub's product is then made in several places.
+    Pruning by degree loses no pair and comes before the join that multiplies rows. The edges into a
+    hub, an intermediary with more than `paths` paths, are dealt to as many tasks as these take, and the
+    edges out of it are repeated for each: its product is made in several places. `salt` deals all of them to
+    as many tasks instead. The edges and the hubs are written.
     """
+    if salt is None:
+        graph = storage.written(graph, "edges")[0]
     first = first_hops(graph, k, by) if prune else graph
     second = second_hops(graph, k, by) if prune else graph
     left = first.select(*by, F.col("src_bank").alias("a_bank"), F.col("src_account").alias("a_account"), F.col("dst_bank").alias("b_bank"), F.col("dst_account").alias("b_account"))
     right = second.select(*by, F.col("src_bank").alias("b_bank"), F.col("src_account").alias("b_account"), F.col("dst_bank").alias("c_bank"), F.col("dst_account").alias("c_account"))
     on = [*by, "b_bank", "b_account"]
-    if salt > 1:
-        left = left.withColumn("_salt", F.pmod(F.xxhash64("a_bank", "a_account"), F.lit(salt)))
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    parts = F.lit(salt or 1)
+    if salt is None:
+        known = storage.written(hubs(left, right, on, paths), "hubs")[0]
+        some = not known.isEmpty()
+        if some:
+            known = storage.small(known)
+            left, right, parts = left.join(known, on, "left"), right.join(known, on, "left"), F.coalesce("_parts", F.lit(1))
+    if salt is None and some or (salt or 1) > 1:
+        left = left.withColumn("_salt", F.pmod(F.xxhash64("a_bank", "a_account"), parts)).drop("_parts")
+        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("_parts")
         on.append("_salt")
-    paths = left.join(right, on).filter((F.col("a_bank") != F.col("c_bank")) | (F.col("a_account") != F.col("c_account")))
-    return paths.groupBy(*by, "a_bank", "a_account", "c_bank", "c_account").agg(F.count("*").alias("n_paths")).filter(F.col("n_paths") >= k)
+    paired = left.join(right, on).filter((F.col("a_bank") != F.col("c_bank")) | (F.col("a_account") != F.col("c_account")))
+    return paired.groupBy(*by, "a_bank", "a_account", "c_bank", "c_account").agg(F.count("*").alias("n_paths")).filter(F.col("n_paths") >= k)
 
 
 def endpoints(pairs: DataFrame, by: Keys = ()) -> DataFrame:

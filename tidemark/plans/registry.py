@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark import storage
 from tidemark.functions import predicates as P
 from tidemark.operators import aggregates as A, graph as G, sampling
-from tidemark.plans import usecases as U
+from tidemark.plans import reports, usecases as U
 from tidemark.sources import ledgers as L, rates as R, sinks
 from tidemark.streaming import jobs
 
@@ -87,10 +88,26 @@ def accounts_scan(spark, d):
     return L.accounts(spark, d).select("bank_name", "bank_id", "account_number")
 
 
-@query("SELECT tx_id, strftime(ts, '%Y/%m/%d %H:%M') AS short_text, strftime(ts, '%Y-%m-%d %H:%M:%S') AS long_text, date_trunc('minute', ts) AS short_ts, date_trunc('second', ts) AS long_ts FROM ledger")
+@query("SELECT bank_name, bank_id, account_number, account_number AS entity_id, entity_name FROM (SELECT n_name AS bank_name, CAST(n_nationkey AS BIGINT) AS bank_id, CAST(c_custkey AS VARCHAR) AS account_number, c_name AS entity_name FROM nation JOIN customer ON c_nationkey = n_nationkey)")
+def accounts_csv(spark, d):
+    """Accounts written as CSV files and read by the positional reader."""
+    path = storage.fresh(spark, "csv")
+    sinks.write_csv(L.accounts(spark, d).filter("account_number IS NOT NULL"), path)
+    return L.read_accounts(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY tx_id) - 1 AS n FROM usd")
+def csv_index(spark, d):
+    """Rows written to CSV behind a column that counts them."""
+    path = storage.fresh(spark, "csv")
+    sinks.write_csv(_tx(L.ledger(spark, d).filter(P.in_dollars())).repartition(5), path, index=True)
+    return spark.read.csv(path, header=True).select(F.col("index").cast("long").alias("n"))
+
+
+@query("SELECT tx_id, strftime(ts, '%Y/%m/%d %H:%M') AS short_text, strftime(ts, '%Y-%m-%d %H:%M:%S') AS long_text, strftime(ts, '%Y-%m-%d') AS day_text, date_trunc('minute', ts) AS short_ts, date_trunc('second', ts) AS long_ts FROM ledger")
 def timestamp_parse(spark, d):
     rows = L.ledger(spark, d).select("tx_id", F.date_format("ts", "yyyy/MM/dd HH:mm").alias("short_text"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("long_text"))
-    return rows.withColumns({"short_ts": L.parse_ts(F.col("short_text")), "long_ts": L.parse_ts(F.col("long_text"))})
+    return rows.withColumns({"day_text": L.day_text(F.col("short_text")), "short_ts": L.parse_ts(F.col("short_text")), "long_ts": L.parse_ts(F.col("long_text"))})
 
 
 @query(f"SELECT tx_id % 3 AS client_id, {TX} FROM ledger")
@@ -192,7 +209,7 @@ def uc3_format_averages(spark, d):
 @query("SELECT tx_id, payment_format, amount_avg FROM b JOIN average USING (payment_format)")
 def uc3_merged(spark, d):
     rows = L.ledger(spark, d).filter(P.in_dollars())
-    return rows.filter(S.following.holds()).join(A.exact_format_averages(rows.filter(S.baseline.holds())), "payment_format").select("tx_id", "payment_format", "amount_avg")
+    return U.with_average(rows.filter(S.following.holds()), U.baseline_averages(rows, S, exact=True)).select("tx_id", "payment_format", "amount_avg")
 
 
 @query("SELECT from_bank, from_account, b.payment_format, amount_paid FROM b JOIN average USING (payment_format) WHERE amount_paid < 0.01e0 * amount_avg")
@@ -280,12 +297,35 @@ def uc5_count(spark, d):
     return U.small_transfers(L.ledger(spark, d), R.fixed(spark), S)
 
 
+def _daily_rates(spark):
+    """A Euro that rises by a cent a day, and closes of Bitcoin for two days; other days have the fixed rates."""
+    days = [dt.date(2024, 1, k) for k in range(1, 5)]
+    by_day = {day: R.from_euro({"USD": 1.05 + 0.01 * k, "GBP": 0.84}, {code: name for name, code in R.CODES.items()}) for k, day in enumerate(days)}
+    return R.daily(spark, by_day, {(days[0], "Bitcoin"): 41000.0, (days[2], "Bitcoin"): 43000.0}).union(R.fixed(spark))
+
+
+DAILY_SQL = """SELECT tx_id, amount_paid * CASE WHEN payment_currency = 'Euro' AND ts < TIMESTAMP '2024-01-05' THEN 1.05e0 + 0.01e0 * (day(ts) - 1) WHEN payment_currency = 'Euro' THEN 1.09e0
+  WHEN payment_currency = 'Bitcoin' AND day(ts) = 1 THEN 41000.0e0 WHEN payment_currency = 'Bitcoin' AND day(ts) = 3 THEN 43000.0e0 WHEN payment_currency = 'Bitcoin' THEN 42000.0e0 ELSE 1.0e0 END AS amount_paid FROM transfers"""
+
+
+@query(DAILY_SQL)
+def uc5_daily_converted(spark, d):
+    """Rates by day, where a day and currency have one."""
+    return U.converted(L.ledger(spark, d), _daily_rates(spark), S).select("tx_id", "amount_paid")
+
+
+@query(f"SELECT count(*) AS n_transfers FROM ({DAILY_SQL}) WHERE amount_paid < 1")
+def uc5_daily_count(spark, d):
+    return U.small_transfers(L.ledger(spark, d), _daily_rates(spark), S)
+
+
 # Sets, ranges, samples, clients, reports
 
 
-@query("SELECT account, count(*) AS n_banks FROM (SELECT from_bank AS bank, from_account AS account FROM ledger UNION SELECT to_bank, to_account FROM ledger) GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT account, count(*) AS n_banks FROM (SELECT from_bank AS bank, from_account AS account FROM ledger UNION SELECT tx_id % 7, to_account FROM ledger) GROUP BY 1 HAVING count(*) > 1")
 def multi_bank_accounts(spark, d):
-    return A.accounts_of_several_banks(L.ledger(spark, d))
+    """Accounts of several banks, where the receiving bank differs by payment."""
+    return A.accounts_of_several_banks(L.ledger(spark, d).withColumn("to_bank", F.col("tx_id") % 7))
 
 
 @query("SELECT from_account AS account FROM ledger UNION ALL SELECT to_account FROM ledger")
@@ -299,7 +339,7 @@ def ts_range(spark, d):
     return A.time_range(L.ledger(spark, d))
 
 
-@query()
+@query(f"SELECT {TX} FROM ledger ORDER BY md5(concat_ws(':', 2026, tx_id)), tx_id LIMIT 100")
 def sample_exact_n(spark, d):
     """A sampling operator: exactly 100 rows."""
     return _tx(sampling.exactly(L.ledger(spark, d), 100, "tx_id"))
@@ -332,12 +372,66 @@ def clients_sink(spark, d):
     return spark.read.parquet(path).select(F.col("client_id").cast("long").alias("client_id"), "tx_id", "amount_paid")
 
 
-@query("""SELECT 0 AS section, 0 AS part, '--- UC2 ---' AS line UNION ALL SELECT 0, 1, printf('%-20s %-30s %s', CAST(from_bank AS VARCHAR), bank_name, CAST(amount_paid AS VARCHAR)) FROM top JOIN names ON from_bank = bank_id
-UNION ALL SELECT 1, 0, '--- UC5 ---' UNION ALL SELECT 1, 1, CAST(count(*) AS VARCHAR) FROM transfers WHERE usd_paid < 1""")
+def _report_sql(by: str = "", heads: str = "", joined: str = "") -> str:
+    """Sections of the reports over the common expressions, or over those of clients."""
+    c = "client_id, " if by else ""
+    sections = [
+        f"SELECT {c}printf('origin: %-20s destination: %-20s amount: %s', from_bank || '-' || from_account, to_bank || '-' || to_account, CAST(amount_paid AS VARCHAR)) AS line FROM {by}usd WHERE amount_paid < 50",
+        f"SELECT {c}printf('bank_id: %-20s account: %-20s bank_name: %-30s amount: %s', CAST(from_bank AS VARCHAR), from_account, bank_name, CAST(amount_paid AS VARCHAR)) FROM {by}top JOIN names ON from_bank = bank_id",
+        f"SELECT {c}printf('bank_id: %-20s account: %-20s payment_format: %-20s amount: %s', CAST(from_bank AS VARCHAR), from_account, payment_format, CAST(amount_paid AS VARCHAR)) FROM {by}b JOIN {by}average USING ({c}payment_format) WHERE amount_paid < 0.01e0 * amount_avg",
+        f"SELECT {c}printf('bank: %-20s account: %s', CAST(bank AS VARCHAR), account) FROM (SELECT {c}a_bank AS bank, a_account AS account FROM {by}pairs UNION SELECT {c}c_bank, c_account FROM {by}pairs)",
+        f"SELECT {c}printf('count: %s', CAST(count({'tx_id' if by else '*'}) AS VARCHAR)) FROM {joined or 'transfers WHERE usd_paid < 1'}",
+    ]
+    parts = [f"SELECT {c}{k} AS section, 0 AS part, '--- UC{k + 1} ---' AS line {heads}" for k in range(5)]
+    return " UNION ALL ".join([*parts, *(f"SELECT {c}{k}, 1, line FROM ({q}) AS q{k}({c}line)" for k, q in enumerate(sections))])
+
+
+@query(_report_sql())
 def text_report(spark, d):
-    top = uc2_bank_max(spark, d)
-    lines = top.select(sinks.padded((F.col("from_bank").cast("string"), 20), (F.lit(" "), 0), (F.col("bank_name"), 30), (F.lit(" "), 0), (sinks.float_text("amount_paid"), 0)))
-    return sinks.report({"UC2": lines, "UC5": uc5_count(spark, d)})
+    """The lines of all five questions."""
+    rows, names = L.ledger(spark, d), L.accounts(spark, d)
+    return sinks.report({
+        "UC1": reports.low_value(U.low_value(rows, S)), "UC2": reports.bank_max(U.bank_max(rows, names)), "UC3": reports.far_below_average(U.far_below_average(rows, S)),
+        "UC4": reports.scatter_gather(U.scatter_gather(rows, S)), "UC5": reports.small_transfers(U.small_transfers(rows, R.fixed(spark), S)),
+    })
+
+
+CLIENTS_SQL = """, clients AS (SELECT DISTINCT tx_id % 3 AS client_id FROM ledger),
+c_usd AS (SELECT *, tx_id % 3 AS client_id FROM usd), c_b AS (SELECT *, tx_id % 3 AS client_id FROM b),
+c_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id, from_bank ORDER BY amount_paid DESC, from_account DESC) AS r FROM c_usd) WHERE r = 1),
+c_average AS (SELECT tx_id % 3 AS client_id, payment_format, avg(amount_paid) AS amount_avg FROM a GROUP BY 1, 2),
+c_edges AS (SELECT DISTINCT tx_id % 3 AS client_id, from_bank AS src_bank, from_account AS src_account, to_bank AS dst_bank, to_account AS dst_account FROM a),
+c_pairs AS (
+  SELECT e.client_id, e.src_bank AS a_bank, e.src_account AS a_account, f.dst_bank AS c_bank, f.dst_account AS c_account FROM c_edges e JOIN c_edges f ON e.client_id = f.client_id AND e.dst_bank = f.src_bank AND e.dst_account = f.src_account
+  WHERE e.src_bank <> f.dst_bank OR e.src_account <> f.dst_account GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 5)
+"""
+
+
+def _client_sections(spark, d):
+    """The same for each of three clients, whose rows are kept apart throughout."""
+    rows, by = L.ledger(spark, d).withColumn("client_id", F.col("tx_id") % 3), ("client_id",)
+    clients = rows.select("client_id").distinct()
+    counts = clients.join(U.small_transfers(rows, R.fixed(spark), S, by), "client_id", "left").fillna(0, ["n_transfers"])
+    return clients, {
+        "UC1": reports.low_value(U.low_value(rows, S, by), by), "UC2": reports.bank_max(U.bank_max(rows, L.accounts(spark, d), by), by), "UC3": reports.far_below_average(U.far_below_average(rows, S, by), by),
+        "UC4": reports.scatter_gather(U.scatter_gather(rows, S, by), by), "UC5": reports.small_transfers(counts, by),
+    }
+
+
+@query(CLIENTS_SQL + _report_sql("c_", "FROM clients", "clients LEFT JOIN (SELECT tx_id, tx_id % 3 AS client_id FROM transfers WHERE usd_paid < 1) USING (client_id) GROUP BY client_id"))
+def client_reports(spark, d):
+    """A report for each client."""
+    clients, sections = _client_sections(spark, d)
+    return sinks.report(sections, ("client_id",), clients)
+
+
+@query(CLIENTS_SQL + "SELECT client_id, line FROM (" + _report_sql("c_", "FROM clients", "clients LEFT JOIN (SELECT tx_id, tx_id % 3 AS client_id FROM transfers WHERE usd_paid < 1) USING (client_id) GROUP BY client_id") + ")")
+def client_report_files(spark, d):
+    """The reports as ordered text files in a folder for each client, read again."""
+    clients, sections = _client_sections(spark, d)
+    path = storage.fresh(spark, "reports")
+    sinks.write_client_reports(sections, clients, path, ordered=True)
+    return spark.read.text(path).select(F.col("client_id").cast("long").alias("client_id"), F.col("value").alias("line"))
 
 
 @query("""SELECT 1 AS uc, count(*) AS n FROM usd WHERE amount_paid < 50 UNION ALL SELECT 2, count(*) FROM top JOIN names ON from_bank = bank_id
@@ -385,3 +479,20 @@ def stream_small_transfers(spark, d):
 @query(f"SELECT {TX} FROM ledger")
 def stream_dedup(spark, d):
     return jobs.deduplicated(spark, d)
+
+
+@query("SELECT client_id, from_bank, from_account, amount_paid FROM (SELECT *, row_number() OVER (PARTITION BY tx_id % 3, from_bank ORDER BY amount_paid DESC, from_account DESC) AS r, tx_id % 3 AS client_id FROM usd) WHERE r = 1")
+def stream_clients_bank_max(spark, d):
+    """Several clients in one stream."""
+    return jobs.bank_max(spark, d, ("client_id",), clients=3)
+
+
+@query("SELECT tx_id % 3 AS client_id, count(*) AS n_transfers FROM transfers WHERE usd_paid < 1 GROUP BY 1")
+def stream_clients_small_transfers(spark, d):
+    return jobs.small_transfers(spark, d, by=("client_id",), clients=3)
+
+
+@query("SELECT tx_id % 3 AS client_id, from_bank, from_account, to_bank, to_account, amount_paid FROM usd WHERE amount_paid < 50 AND tx_id % 3 <> 1")
+def stream_clients_without_aborted(spark, d):
+    """The rows of a client that has gone are dropped from the stream."""
+    return jobs.low_value(spark, d, by=("client_id",), clients=3, aborted=spark.range(1, 2).toDF("client_id"))

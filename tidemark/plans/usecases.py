@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark import storage
 from tidemark.functions import predicates as P
 from tidemark.operators import aggregates as A, graph as G
 from tidemark.sources import rates as R
@@ -39,15 +40,20 @@ def bank_max(ledger: DataFrame, accounts: DataFrame, by: Keys = ()) -> DataFrame
     return top.join(names, F.col("from_bank") == F.col("bank_id")).select(*by, "from_bank", "from_account", "bank_name", "amount_paid")
 
 
-def far_below_average(ledger: DataFrame, s: Settings = Settings(), by: Keys = (), exact: bool = False) -> DataFrame:
-    """Dollar payments of the following period under a share of their format's average in the baseline.
+def with_average(later: DataFrame, average: DataFrame, by: Keys = ()) -> DataFrame:
+    """Payments with their format's average. Averages are a written table; a small one is broadcast, and the payments stay where they are."""
+    return later.join(storage.small(average), [*by, "payment_format"])
+
+
+def baseline_averages(dollars: DataFrame, s: Settings = Settings(), by: Keys = (), exact: bool = False) -> DataFrame:
+    """Averages of the baseline by format, written: before, Spark takes their size for the ledger's."""
+    return storage.written((A.exact_format_averages if exact else A.format_averages)(dollars.filter(s.baseline.holds()), by), "averages")[0]
 
-    The averages are one row a payment format, so the join is planned as a broadcast with the
-    threshold folded in.
-    """
+
+def far_below_average(ledger: DataFrame, s: Settings = Settings(), by: Keys = (), exact: bool = False) -> DataFrame:
+    """Dollar payments of the following period under a share of their format's average in the baseline."""
     dollars = ledger.filter(P.in_dollars())
-    average = (A.exact_format_averages if exact else A.format_averages)(dollars.filter(s.baseline.holds()), by)
-    later = dollars.filter(s.following.holds()).join(average, [*by, "payment_format"])
+    later = with_average(dollars.filter(s.following.holds()), baseline_averages(dollars, s, by, exact), by)
     return later.filter(F.col("amount_paid") < F.lit(s.below_share) * F.col("amount_avg")).select(*by, "from_bank", "from_account", "payment_format", "amount_paid")
 
 
@@ -55,7 +61,7 @@ def scatter_gather_edges(ledger: DataFrame, s: Settings = Settings(), by: Keys =
     return G.edges(ledger.filter(P.in_dollars() & s.baseline.holds()), by)
 
 
-def scatter_gather(ledger: DataFrame, s: Settings = Settings(), by: Keys = (), salt: int = 1) -> DataFrame:
+def scatter_gather(ledger: DataFrame, s: Settings = Settings(), by: Keys = (), salt: int | None = None) -> DataFrame:
     """Accounts at either end of a pair with enough different intermediaries."""
     return G.endpoints(G.pair_counts(scatter_gather_edges(ledger, s, by), s.intermediaries, by, salt=salt), by)
 

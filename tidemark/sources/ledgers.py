@@ -18,6 +18,11 @@ def parse_ts(text: Column) -> Column:
     return F.coalesce(slashes, dashes, F.when(text.isNotNull(), bad)).cast("timestamp_ntz")
 
 
+def day_text(text: Column) -> Column:
+    """The day of a timestamp's text, with dashes."""
+    return F.translate(F.substring(text, 1, 10), "/", "-")
+
+
 def _csv(spark: SparkSession, path: str, columns: T.StructType, lenient: bool) -> DataFrame:
     """Rows by position. A malformed line fails; if lenient, lines with a missing or malformed field are left out."""
     if not lenient:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark import storage
 from tidemark.functions import predicates as P
 from tidemark.operators import aggregates as A
-from tidemark.plans.usecases import EVENTS, Settings
+from tidemark.plans.usecases import EVENTS, Keys, Settings, with_average
 from tidemark.sources import ledgers, rates
 
 
@@ -57,33 +57,37 @@ def _run(how: Callable[[DataFrame, str, str], DataFrame], stream: DataFrame) ->
     return how(stream, storage.fresh(spark, "stream"), storage.fresh(spark, "offsets"))
 
 
-def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledgers.ledger_of(events_stream(spark, sf_dir))
+def ledger_stream(spark: SparkSession, sf_dir: str, clients: int = 0) -> DataFrame:
+    """The ledger as a stream; of several clients, by payment number, if their number is given."""
+    rows = ledgers.ledger_of(events_stream(spark, sf_dir))
+    return rows.withColumn("client_id", F.col("tx_id") % clients) if clients else rows
 
 
-def low_value(spark: SparkSession, sf_dir: str, s: Settings = EVENTS) -> DataFrame:
-    rows = ledger_stream(spark, sf_dir).filter(P.in_dollars() & P.below(s.low_value))
-    return _run(appended, rows.select("from_bank", "from_account", "to_bank", "to_account", "amount_paid"))
+def low_value(spark: SparkSession, sf_dir: str, s: Settings = EVENTS, by: Keys = (), clients: int = 0, aborted: DataFrame | None = None) -> DataFrame:
+    rows = ledger_stream(spark, sf_dir, clients).filter(P.in_dollars() & P.below(s.low_value))
+    rows = rows if aborted is None else without_clients(rows, aborted)
+    return _run(appended, rows.select(*by, "from_bank", "from_account", "to_bank", "to_account", "amount_paid"))
 
 
-def bank_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(completed, A.largest_payment_in_one_pass(ledger_stream(spark, sf_dir).filter(P.in_dollars())))
+def bank_max(spark: SparkSession, sf_dir: str, by: Keys = (), clients: int = 0) -> DataFrame:
+    return _run(completed, A.largest_payment_in_one_pass(ledger_stream(spark, sf_dir, clients).filter(P.in_dollars()), by))
 
 
-def format_averages(spark: SparkSession, sf_dir: str, s: Settings = EVENTS) -> DataFrame:
-    return _run(completed, A.exact_format_averages(ledger_stream(spark, sf_dir).filter(P.in_dollars() & s.baseline.holds())))
+def format_averages(spark: SparkSession, sf_dir: str, s: Settings = EVENTS, by: Keys = (), clients: int = 0) -> DataFrame:
+    return _run(completed, A.exact_format_averages(ledger_stream(spark, sf_dir, clients).filter(P.in_dollars() & s.baseline.holds()), by))
 
 
-def far_below_average(spark: SparkSession, sf_dir: str, s: Settings = EVENTS) -> DataFrame:
+def far_below_average(spark: SparkSession, sf_dir: str, s: Settings = EVENTS, by: Keys = (), clients: int = 0) -> DataFrame:
     """Two streams one after the other: the averages are complete before the later payments meet them."""
-    average = format_averages(spark, sf_dir, s)
-    later = ledger_stream(spark, sf_dir).filter(P.in_dollars() & s.following.holds()).join(average, "payment_format")
-    return _run(appended, later.filter(F.col("amount_paid") < F.lit(s.below_share) * F.col("amount_avg")).select("from_bank", "from_account", "payment_format", "amount_paid"))
+    average = format_averages(spark, sf_dir, s, by, clients)
+    later = with_average(ledger_stream(spark, sf_dir, clients).filter(P.in_dollars() & s.following.holds()), average, by)
+    return _run(appended, later.filter(F.col("amount_paid") < F.lit(s.below_share) * F.col("amount_avg")).select(*by, "from_bank", "from_account", "payment_format", "amount_paid"))
 
 
-def small_transfers(spark: SparkSession, sf_dir: str, s: Settings = EVENTS) -> DataFrame:
-    rows = rates.converted(ledger_stream(spark, sf_dir).filter(P.by_format(*s.formats) & s.baseline.holds()), rates.fixed(spark))
-    return _run(completed, rows.filter(P.below(s.under)).agg(F.count("*").alias("n_transfers")))
+def small_transfers(spark: SparkSession, sf_dir: str, s: Settings = EVENTS, by: Keys = (), clients: int = 0) -> DataFrame:
+    rows = rates.converted(ledger_stream(spark, sf_dir, clients).filter(P.by_format(*s.formats) & s.baseline.holds()), rates.fixed(spark)).filter(P.below(s.under))
+    n = F.count("*").alias("n_transfers")
+    return _run(completed, rows.groupBy(*by).agg(n) if by else rows.agg(n))
 
 
 def deduplicated(spark: SparkSession, sf_dir: str, late: str = "60 days") -> DataFrame:

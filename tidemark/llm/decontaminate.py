@@ -1,35 +1,35 @@
-"""Benchmark decontamination: a prefix-filtered join of item windows with documents.
+"""Benchmark decontamination: a prefix-filtered set join of item windows with documents.
 
-A window is `size` consecutive words of an item, or the whole item if it has fewer
+A window is `window` consecutive words of an item, or the whole item if it has fewer
 words, but one at least. A window must be contained whole, so any one of its shingles
 is a sufficient prefix for the join: the rarest one in the corpus is taken, which
 keeps the number of candidates least. The steps:
 
-1. count, over all documents, how often each shingle of the items occurs;
-2. order each window's shingles by that rarity and keep the rarest, with its offset;
-3. join those prefix tokens with the documents' shingles; a match at word p of a token
-   at offset o proposes the window at p - o, bounded by the document's first and last word;
-4. verify that all words of the window stand there, one after another.
+1. items become windows, and windows their shingles of `shingle` words (all words of a
+   shorter window), as tables;
+2. a pass over all documents counts their shingles, combined per task, which are joined
+   with the windows': that is a shingle's rarity;
+3. of each window's shingles, in the order of rarity, the first is kept with its offset;
+4. a second pass lists the places of those prefix tokens in the documents, with the words
+   around; they are joined with the prefixes by shingle. A match at word p of a token at
+   offset o proposes the window at p - o, bounded by the document's first and last word;
+5. the window's words must stand there, compared as strings.
 
-Items are taken in blocks of bounded size, each of which is sent to the workers; all
-documents meet every block. With one block the documents are not shuffled at all.
-
-Words are compared by 64-bit hashes of their bytes, `size` of them for a window.
+In both passes a bitmap of the wanted shingles' hashes, of bounded size, keeps most other
+shingles of the documents out of the joins; what it lets through by chance finds no
+partner. It is all of the items that the driver holds. Texts are never shuffled.
 
 Defined cases: a null or empty text has no words, is never hit and gives no window;
 an item with equal words elsewhere is found wherever any item's window stands;
 repeated document rows give a row each; repeated item ids count once for a document.
-An item whose id is null hits words as any other does, and is left out of the ids only; the
-SQL leaves out such items altogether, so it holds for tables without them.
-Other columns are not read.
+An item whose id is null hits words as any other does, and is left out of the ids only.
+Documents with one id and different texts are told apart by a hash of the text. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
-import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,254 +39,211 @@ from tidemark.llm import shared, textbuf as tb
 
 WINDOW = 10
 SHINGLE = 3
-#: Words of items in one block; a block's arrays take about 60 bytes a word.
-BLOCK_WORDS = 1_000_000
-
-OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-
-
-@dataclass
-class Windows:
-    """Distinct windows of a block of items, and the items that have each."""
-
-    words: np.ndarray  # hashes of the windows' words, one window after another
-    first: np.ndarray  # where each window begins in words
-    size: np.ndarray
-    owner_first: np.ndarray  # items of window w: owners[owner_first[w]:owner_first[w + 1]]
-    owners: np.ndarray
-    names: list[str]
-
-
-def windows_of(items: list[tuple[str | None, str]], size: int) -> Windows:
-    """Windows of (item id, text) pairs. Those of items without an id have no owner by them."""
-    names = sorted({i for i, _ in items if i is not None})
-    number = {n: k for k, n in enumerate(names)}
-    seen: dict[bytes, set[int]] = {}
-    for name, text in items:
-        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-        h = tb.words(data, np.array([0, len(data)]), tb.ALNUM_WORD).hashes()
-        n = min(size, len(h))
-        for k in range(len(h) - n + 1 if n else 0):
-            of = seen.setdefault(h[k : k + n].tobytes(), set())
-            if name is not None:
-                of.add(number[name])
-    sizes = np.array([len(w) // 8 for w in seen], np.int64)
-    owners = [sorted(x) for x in seen.values()]
-    return Windows(
-        np.frombuffer(b"".join(seen), np.uint64), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)[: len(sizes)], sizes,
-        np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int64), np.array([k for x in owners for k in x], np.int64), names,
-    )
-
-
-def _tokens(w: Windows, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles of all windows: (shingle size, hash, window, offset). Windows shorter than a shingle are one."""
-    out = []
-    for k in range(1, shingle + 1):
-        at = np.flatnonzero(w.size == k) if k < shingle else np.flatnonzero(w.size >= k)
-        n = w.size[at] - k + 1
-        if not len(at):
-            continue
-        window, offset = np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        grams = tb.rolling(w.words, k)[w.first[window] + offset]
-        out.append((np.full(len(window), k), grams, window, offset))
-    if not out:
-        empty = np.zeros(0, np.int64)
-        return empty, empty.astype(np.uint64), empty, empty
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-class _Sieve:
-    """Membership of hashes in a sorted array, by way of a bit table for the many that are absent."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys, self.bits = keys, max(16, int(len(keys)).bit_length() + 4)
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[(keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in h, indices of keys) of the members."""
-        if not len(self.keys) or not len(h):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.table[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
-        key = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        good = self.keys[key] == h[at]
-        return at[good], key[good]
-
-
-def _batches(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, tb.Words, np.ndarray]]:
+#: The bitmap has 64 bits for each wanted shingle, and 2^SIEVE_BITS bits at most.
+SIEVE_BITS = 27
+#: Rows of windows, prefixes or ids that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+_FOUND = "doc_id long, of_text long, n_words long, met array<struct<g: long, size: int, left: int, start: int, words: string>>"
+
+
+def _texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, tb.Words, np.ndarray]]:
     for lo, hi, data, offsets in tb.groups(batch.column(at)):
         w = tb.words(data, offsets, tb.ALNUM_WORD)
         yield lo, hi, w, w.hashes()
 
 
-def _rarity(texts: DataFrame, wanted, sizes: list[int]) -> dict[int, int]:
-    """How often each wanted shingle occurs in all texts; the result is as long as the block's shingles."""
+def _joined(w: tb.Words, a: int, b: int) -> str:
+    return b" ".join(w.text(k) for k in range(a, b)).decode()
+
+
+def windows_of(items: DataFrame, size: int) -> DataFrame:
+    """item, win (its words, one space apart) of (item, text)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, w, _ in _texts(batch, 1):
+                for k, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
+                    words = [w.text(x).decode() for x in range(a, b)]
+                    n = min(size, b - a)
+                    found = list({" ".join(words[x : x + n]) for x in range(b - a - n + 1)}) if n else []
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[lo + k].as_py()] * len(found), pa.string()), pa.array(found, pa.string())], names=["item", "win"])
+
+    return items.mapInArrow(cut, "item string, win string").distinct()
+
+
+def shingles_of(windows: DataFrame, shingle: int) -> DataFrame:
+    """win, size (words of the shingle), g (its hash), offset of (win)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, w, h in _texts(batch, 0):
+                for size in range(1, shingle + 1):
+                    at = np.flatnonzero(w.counts == size if size < shingle else w.counts >= size)
+                    if len(at):
+                        n = w.counts[at] - size + 1
+                        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        of = np.repeat(at, n)
+                        g = tb.rolling(h, size)[w.first[of] + offset].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of + lo)), pa.array(np.full(len(of), size, np.int32)), pa.array(g), pa.array(offset.astype(np.int32))], names=["win", "size", "g", "offset"])
+
+    return windows.mapInArrow(cut, "win string, size int, g long, offset int")
+
+
+class Sieve:
+    """Which hashes may be wanted, by a bitmap of their first bits; and the sizes of the shingles."""
+
+    def __init__(self, bits: int, sizes: list[int], words: np.ndarray):
+        self.bits, self.sizes, self.words = bits, sizes, words
+
+    def find(self, g: np.ndarray) -> np.ndarray:
+        at = (g >> np.uint64(64 - self.bits)).astype(np.int64)
+        return np.flatnonzero((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+
+
+def sieve_of(wanted: DataFrame) -> Sieve:
+    """The sieve of (size, g); the bitmap is put together in Spark, in words of 64 bits."""
+    few = {r["size"]: r["n"] for r in wanted.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    bits = max(12, min(SIEVE_BITS, (64 * sum(few.values())).bit_length()))
+    place = wanted.select(F.shiftrightunsigned("g", 64 - bits).alias("at"))
+    rows = place.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+    words = np.zeros(1 << (bits - 6), np.int64)
+    found = rows.toArrow()  # at most 2^(SIEVE_BITS - 6) rows
+    words[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return Sieve(bits, sorted(few), words.view(np.uint64))
+
+
+def _counted(texts: DataFrame, sieve) -> DataFrame:
+    """size, g, n: how often shingles that the sieve lets through occur in all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieves = {k: _Sieve(v) for k, v in wanted.value.items()}
-        total = {k: np.zeros(len(s.keys), np.int64) for k, s in sieves.items()}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in sieve.value.sizes}
+        size = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for k, parts in held.items():
+                if parts:
+                    g, back = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+                    n = np.bincount(back, weights=np.concatenate([n for _, n in parts]), minlength=len(g)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int32)), pa.array(g.view(np.int64)), pa.array(n)], names=["size", "g", "n"])
+                    held[k] = []
+
         for batch in batches:
-            for _, _, w, h in _batches(batch, 0):
-                for k in sizes:
-                    grams = tb.rolling(h, k)
-                    grams = grams[tb.inside_documents(w.first, k, len(grams))]
-                    total[k] += np.bincount(sieves[k].find(grams)[1], minlength=len(total[k]))
-        for k in sizes:
-            some = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(some), pa.array(total[k][some])], names=["size", "at", "n"])
-
-    counts = texts.mapInArrow(count, "size long, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n"))
-    found = {k: np.zeros(len(v), np.int64) for k, v in wanted.value.items()}
-    for r in counts.toLocalIterator():
-        found[r["size"]][r["at"]] = r["n"]
-    return found
-
-
-def _prefixes(w: Windows, shingle: int, texts: DataFrame) -> dict[int, tuple[np.ndarray, ...]]:
-    """By shingle size: sorted distinct prefix tokens, where each one's windows begin, those windows and offsets."""
-    size, gram, window, offset = _tokens(w, shingle)
-    sizes = sorted(set(size.tolist()))
-    wanted = texts.sparkSession.sparkContext.broadcast({k: np.unique(gram[size == k]) for k in sizes})
-    rarity = _rarity(texts, wanted, sizes) if sizes else {}
-    out = {}
-    for k in sizes:
-        of = size == k
-        g, win, off = gram[of], window[of], offset[of]
-        often = rarity[k][np.searchsorted(wanted.value[k], g)]
-        order = np.lexsort((off, often, win))
-        rare = order[np.unique(win[order], return_index=True)[1]]  # the rarest shingle of each window
-        rare = rare[np.argsort(g[rare], kind="stable")]
-        tokens, begin = np.unique(g[rare], return_index=True)
-        out[k] = tokens, np.append(begin, len(rare)), win[rare], off[rare]
-    wanted.unpersist()
-    return out
-
-
-def _spread(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the runs first[x]:first[x + 1] for each x of which, and for each index its place in which."""
-    n = first[which + 1] - first[which]
-    back = np.repeat(np.arange(len(which)), n)
-    return np.repeat(first[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), back
-
-
-def _verified(w: tb.Words, h: np.ndarray, win: Windows, prefixes: dict, sieves: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, window) of every occurrence of a window in the group of documents."""
-    starts, found = [], []
-    for k, (_, begin, window, offset) in prefixes.items():
-        grams = tb.rolling(h, k)
-        at, token = sieves[k].find(grams)
-        entry, back = _spread(begin, token)
-        at, window, offset = at[back], window[entry], offset[entry]
-        doc = np.searchsorted(w.first, at, "right") - 1
-        start = at - offset
-        fits = (start >= w.first[doc]) & (start + win.size[window] <= w.first[doc + 1])
-        start, window = start[fits], window[fits]
-        for j in range(int(win.size[window].max()) if len(window) else 0):
-            far = np.minimum(j, win.size[window] - 1)
-            same = h[start + far] == win.words[win.first[window] + far]
-            start, window = start[same], window[same]
-        starts.append(start)
-        found.append(window)
-    empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *starts]), np.concatenate([empty, *found])
-
-
-def _digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
-
-
-def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
-    """Rows of items, one partition at a time, in lists of at most `most` words or of one item."""
-    block, n = [], 0
-    for r in items.toLocalIterator():
-        size = (r[1] or "").count(" ") + (r[1] or "").count("\n") + 1
-        if block and n + size > most:
-            yield block
-            block, n = [], 0
-        block.append((r[0], r[1]))
-        n += size
-    yield block
-
-
-def contaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the sorted item ids.
-
-    Input columns named in `keep` come back as the fields of a struct, kept.
-    """
+            for _, _, w, h in _texts(batch, 0):
+                for k in sieve.value.sizes:
+                    g = tb.rolling(h, k)
+                    g = g[tb.inside_documents(w.first, k, len(g))]
+                    held[k].append(np.unique(g[sieve.value.find(g)], return_counts=True))
+                    size += len(held[k][-1][0])
+            if size > 500_000:
+                yield from told()
+                size = 0
+        yield from told()
+        shared.release()
+
+    return texts.mapInArrow(count, "size int, g long, n long").groupBy("size", "g").agg(F.sum("n").alias("n"))
+
+
+def prefixes_of(shingles: DataFrame, counted: DataFrame) -> DataFrame:
+    """win, n_win, size, g, offset: the rarest shingle of each window; of equals the first."""
+    rare = shingles.join(counted.select(F.col("size").alias("s"), F.col("g").alias("h"), "n"), (F.col("size") == F.col("s")) & (F.col("g") == F.col("h")), "left")
+    first = rare.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "size", "g")).alias("p"))
+    return first.select("win", F.size(F.split("win", " ")).alias("n_win"), F.col("p.size").alias("of_size"), F.col("p.g").alias("of_g"), F.col("p.offset").alias("offset"))
+
+
+def _search(docs: DataFrame, sieve, window: int) -> DataFrame:
+    """A row a document: its number of words, and the places of shingles that the sieve lets through, with the words around."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, w, h in _texts(batch, 2):
+                at, size, grams = [], [], []
+                for k in sieve.value.sizes:
+                    g = tb.rolling(h, k)
+                    p = sieve.value.find(g)
+                    p = p[tb.inside_documents(w.first, k, len(g))[p]]
+                    at.append(p)
+                    size.append(np.full(len(p), k))
+                    grams.append(g[p])
+                at, size, grams = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in ((np.int64, at), (np.int64, size), (np.uint64, grams)))
+                order = np.argsort(at, kind="stable")
+                at, size, grams = at[order], size[order], grams[order]
+                doc = np.searchsorted(w.first, at, "right") - 1
+                a, b = np.maximum(w.first[doc], at - window + 1), np.minimum(w.first[doc + 1], at + window)
+                around = [_joined(w, x, y) for x, y in zip(a.tolist(), b.tolist())]
+                met = pa.StructArray.from_arrays([pa.array(grams.view(np.int64)), pa.array(size.astype(np.int32)), pa.array((at - a).astype(np.int32)), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(around, pa.string())], names=["g", "size", "left", "start", "words"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)), met)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(w.counts.astype(np.int64)), lists], names=["doc_id", "of_text", "n_words", "met"])
+        shared.release()
+
+    return docs.mapInArrow(find, _FOUND)
+
+
+def _maybe_broadcast(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
+
+
+def hits(found: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """doc_id, of_text, start, n_win, win of every occurrence of a window; of the rows of _search."""
+    met = found.select("doc_id", "of_text", F.explode("met").alias("m")).select("doc_id", "of_text", "m.*")
+    both = met.join(_maybe_broadcast(prefixes), (F.col("size") == F.col("of_size")) & (F.col("g") == F.col("of_g")))
+    around = F.split("words", " ")
+    skip = F.col("left") - F.col("offset")
+    fits = (skip >= 0) & (F.size(around) - skip >= F.col("n_win"))
+    stands = F.array_join(F.slice(around, skip + 1, F.col("n_win")), " ") == F.col("win")
+    return both.filter(F.when(fits, stands).otherwise(False)).select("doc_id", "of_text", (F.col("start") - F.col("offset")).alias("start"), "n_win", "win")
+
+
+def contaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the sorted item ids, and of_text (the text's hash)."""
     spark = documents.sparkSession
     shared.bounded_batches(spark)
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept"))
-    rest = dict(docs.dtypes)["kept"]
-    listed = items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string"))
-
-    def of_block(block: list[tuple[str, str]], final: bool) -> DataFrame:
-        win = windows_of(block, window)
-        known = spark.sparkContext.broadcast((win, _prefixes(win, shingle, docs.select("text"))))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            win, prefixes = known.value
-            sieves = {k: _Sieve(p[0]) for k, p in prefixes.items()}
-            none = _digest([])
-            for batch in batches:
-                for lo, hi, w, h in _batches(batch, 1):
-                    start, window = _verified(w, h, win, prefixes, sieves)
-                    step = np.zeros(len(h) + 1, np.int64)
-                    np.add.at(step, start, 1)
-                    np.subtract.at(step, start + win.size[window], 1)
-                    hit = np.cumsum(step[:-1]) > 0
-                    total = np.concatenate([[0], np.cumsum(hit)])
-                    n_hit = total[w.first[1:]] - total[w.first[:-1]]
-                    n, doc = hi - lo, np.searchsorted(w.first, start, "right") - 1
-                    entry, back = _spread(win.owner_first, window)
-                    pairs = np.unique(doc[back] * max(1, len(win.names)) + win.owners[entry])
-                    named: dict[int, list[str]] = {}
-                    for d, k in zip((pairs // max(1, len(win.names))).tolist(), (pairs % max(1, len(win.names))).tolist()):
-                        named.setdefault(d, []).append(win.names[k])  # names are sorted
-                    item_lists = [named.get(d, []) for d in range(n)]
-                    ids, kept = batch.column(0).slice(lo, n), batch.column(2).slice(lo, n)
-                    if final:
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(w.counts), pa.array(n_hit), pa.array([len(x) for x in item_lists], pa.int64()), pa.array([_digest(x) if x else none for x in item_lists]), pa.array(n_hit > 0), pa.array(item_lists, pa.list_(pa.string())), kept], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "kept"])
-                    else:
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                        cut = [[] for _ in range(n)]
-                        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                            while s < e:  # runs of hit words may touch across documents
-                                d = int(np.searchsorted(w.first, s, "right")) - 1
-                                stop = min(e, int(w.first[d + 1]))
-                                cut[d].append({"a": s - int(w.first[d]), "b": stop - int(w.first[d])})
-                                s = stop
-                        yield pa.RecordBatch.from_arrays([batch.column(3).slice(lo, n), ids, pa.array(w.counts), pa.array(item_lists, pa.list_(pa.string())), pa.array(cut, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["row", "doc_id", "n_words", "items", "cut"])
-
-        if final:
-            return docs.mapInArrow(search, f"{OUT}, kept {rest}")
-        return numbered.mapInArrow(search, "row string, doc_id long, n_words long, items array<string>, cut array<struct<a long, b long>>")
-
-    blocks = _blocks(listed, block_words)
-    head = list(itertools.islice(blocks, 2))
-    if len(head) == 1:
-        return of_block(head[0], True)
-    # Each row gets a number that every pass over the same written table repeats.
-    held, _ = shared.written(docs.withColumn("row", F.expr("uuid()")), "decontaminate")
-    numbered = held.select("doc_id", "text", F.struct(F.lit(0).alias("_")).alias("kept"), "row")
-    parts = [of_block(b, False) for b in itertools.chain(head, blocks)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    spans = F.array_sort(F.flatten(F.collect_list("cut")))
-    covered = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(s["a"], a["to"]))).alias("n"), F.greatest(a["to"], s["b"]).alias("to")), lambda a: a["n"])
-    merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), spans.alias("spans")).withColumn("n_hit", covered)
-    return merged.join(held.select("row", "kept"), "row").select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "kept")
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_text).cast("string")).alias("of_text"), F.col(doc_text).cast("string").alias("text"))
+    owned, _ = shared.written(windows_of(items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")), window), "windows")
+    pieces, _ = shared.written(shingles_of(owned.select("win").distinct(), shingle), "shingles")
+    broadcast = spark.sparkContext.broadcast
+    wanted = broadcast(sieve_of(pieces.select("size", "g").distinct()))
+    prefixes, _ = shared.written(prefixes_of(pieces, _counted(docs.select("text"), wanted)), "prefixes")
+    tokens = broadcast(sieve_of(prefixes.select(F.col("of_size").alias("size"), F.col("of_g").alias("g")).distinct()))
+    found, _ = shared.written(_search(docs, tokens, window), "places")
+    wanted.unpersist()
+    tokens.unpersist()
+
+    hit, _ = shared.written(hits(found, prefixes).distinct(), "hits")
+    spans = F.sort_array(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n_win")).alias("b"))))
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
+    covered = F.aggregate("spans", none, lambda x, s: F.struct((x["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(s["a"], x["to"]))).alias("n"), F.greatest(x["to"], s["b"]).alias("to")), lambda x: x["n"])
+    key = ["doc_id", "of_text"]
+    counts = hit.groupBy(key).agg(spans.alias("spans")).select(*key, covered.cast("long").alias("n_hit"))
+    owners = owned.select(F.col("win").alias("of_win"), "item")
+    named = hit.select(*key, "win").distinct().join(_maybe_broadcast(owners), F.col("win") == F.col("of_win")).groupBy(key).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    same = lambda a, b: [F.col(c).eqNullSafe(F.col(f"{b}_{c}")) for c in key]
+    renamed = lambda t, b: t.select(*[F.col(c).alias(f"{b}_{c}") for c in key], *[c for c in t.columns if c not in key])
+    told, _ = shared.written(counts.join(renamed(named, "i"), same("", "i")).select(*key, "n_hit", "items"), "told")
+    rows = found.select(*key, "n_words").join(_maybe_broadcast(renamed(told, "t")), same("", "t"), "left")
+    ids = F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), ids.alias("items"), "of_text")
+
+
+def clean(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", **options) -> DataFrame:
+    """The documents without any window of an item, with all their columns."""
+    judged = contaminated(documents, items, doc_id, doc_text, **options)
+    gone, _ = shared.written(judged.filter("contaminated").select(F.col("doc_id").alias("_gone"), F.col("of_text").alias("_text")).distinct(), "gone")
+    return documents.join(_maybe_broadcast(gone), F.col(doc_id).cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col(doc_text).cast("string")) == F.col("_text")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows = contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.drop("items", "of_text")
 
 
 #: A window is a list of words; each document's windows of every length that items have are joined with them.
 ORACLE_SQL = r"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 wins AS (
   SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS win
   FROM item, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS t(k) WHERE len(w) > 0),
@@ -299,13 +256,8 @@ spots AS (
   FROM doc, sizes, unnest(range(1, len(w) - n + 2)) AS t(k) WHERE len(w) >= n),
 hits AS (SELECT a.r, a.k, a.n, v.item FROM spots a JOIN wins v ON a.n = v.n AND a.win = v.win),
 covered AS (SELECT r, count(DISTINCT j) AS n_hit FROM hits, unnest(range(k, k + n)) AS t(j) GROUP BY r),
-named AS (SELECT r, count(DISTINCT item) AS n_items, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY r)
+named AS (SELECT r, count(DISTINCT item) AS n_items, list_sort(list(DISTINCT item)) AS items FROM hits WHERE item IS NOT NULL GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
-
-
-def digest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns."""
-    return query(spark, sf_dir).drop("items", "kept")

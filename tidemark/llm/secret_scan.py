@@ -17,14 +17,18 @@ repeated rows give repeated rows. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from itertools import product
-from re import _constants as rc, _parser as rp
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.llm import shared
+
 #: A regex piece with more alternatives than this isn't followed exactly.
 MOST_STRINGS = 24
+#: Candidates (an id and their kinds) that may be broadcast.
+BROADCAST_IDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -77,7 +81,87 @@ def _of_strings(strings: set[str]) -> Query:
     return _join("or", [_join("and", [s[k : k + 3] for k in sorted({*range(0, len(s) - 2, 3), max(0, len(s) - 3)}) if len(s) > 2]) for s in sorted(strings)])
 
 
-def _analyse(nodes) -> tuple[set[str] | None, Query]:
+#: A token of a regex: an escape, a class, the start of a group, a repetition, or one character.
+_TOKEN = re.compile(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|.)|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?[aimsux]+\)|\(\?:|\{\d+(?:,\d*)?\}|.", re.S)
+#: Escapes that stand for a character; other escaped letters stand for several or for a place.
+_PLACES = frozenset("bBAZz")
+_CONTROL = {"t": "\t", "n": "\n", "r": "\r", "f": "\f", "v": "\v"}
+
+#: ("char", c) | ("any", characters or None) | ("place",) | ("branch", sequences) | ("repeat", least, most, node)
+Node = tuple
+
+
+def _escaped(token: str) -> Node:
+    if token[1] in "xu" and len(token) > 2:
+        return "char", chr(int(token[2:], 16))
+    if token[1] in _PLACES:
+        return ("place",)
+    if token[1] in _CONTROL:
+        return "char", _CONTROL[token[1]]
+    if token[1].isalnum():  # a class of characters, or a reference
+        return "any", None
+    return "char", token[1]
+
+
+def _members(token: str) -> Node:
+    """A class of characters, if it lists them one by one."""
+    inner = re.findall(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|.)|.", token[1:-1], re.S)
+    parts = [_escaped(x) if x[0] == "\\" else ("char", x) for x in inner]
+    listed = inner[:1] != ["^"] and all(kind == "char" for kind, *_ in parts) and "-" not in inner[1:-1]
+    return "any", {c for _, c in parts} if listed else None
+
+
+def parsed(pattern: str) -> list[list[Node]]:
+    """The alternatives of a regex, as sequences of nodes. Groups are plain or (?:...); look-around isn't known."""
+    tokens = _TOKEN.findall(pattern)
+    at = 0
+
+    def alternatives(depth: int) -> list[list[Node]]:
+        nonlocal at
+        out: list[list[Node]] = [[]]
+        while at < len(tokens):
+            t = tokens[at]
+            at += 1
+            if t == ")":
+                if not depth:
+                    raise ValueError(f"unbalanced parenthesis: {pattern}")
+                return out
+            if t == "|":
+                out.append([])
+            elif t in ("(", "(?:"):
+                if t == "(" and at < len(tokens) and tokens[at] == "?":
+                    raise ValueError(f"unknown group: {pattern}")
+                out[-1].append(("branch", alternatives(depth + 1)))
+            elif len(t) > 2 and t.startswith("(?"):
+                pass  # flags
+            elif t in "*+?" or t[0] == "{" and len(t) > 1:
+                low, _, high = {"*": "0,", "+": "1,", "?": "0,1"}.get(t, t.strip("{}")).partition(",")
+                most = int(low) if t[0] == "{" and "," not in t else int(high) if high else None
+                if at < len(tokens) and tokens[at] in ("?", "+"):  # how eagerly it repeats
+                    at += 1
+                out[-1].append(("repeat", int(low), most, out[-1].pop()))
+            elif t in "^$":
+                out[-1].append(("place",))
+            elif t == ".":
+                out[-1].append(("any", None))
+            elif t[0] == "[" and len(t) > 1:
+                out[-1].append(_members(t))
+            else:
+                out[-1].append(_escaped(t) if t[0] == "\\" else ("char", t))
+        if depth:
+            raise ValueError(f"unbalanced parenthesis: {pattern}")
+        return out
+
+    return alternatives(0)
+
+
+def _either(found: list[tuple[set[str] | None, Query]]) -> tuple[set[str] | None, Query]:
+    if all(s is not None for s, _ in found):
+        return set().union(*(s for s, _ in found)), True
+    return None, _join("or", [_join("and", [q] + ([_of_strings(s)] if s is not None else [])) for s, q in found])
+
+
+def _analyse(nodes: list[Node]) -> tuple[set[str] | None, Query]:
     """(all strings that the nodes can match, or None if that is unknown or too many; what a match must contain)."""
     exact: set[str] | None = {""}
     live, must = {""}, []  # strings that end at the current place; what was left behind
@@ -92,31 +176,22 @@ def _analyse(nodes) -> tuple[set[str] | None, Query]:
         else:
             live = longer
 
-    for op, arg in nodes:
-        if op is rc.LITERAL:
-            meet({chr(arg).lower()}, True)
-        elif op is rc.IN:
-            single = [chr(a).lower() for o, a in arg if o is rc.LITERAL]
-            meet(set(single) if len(single) == len(arg) else None, True)
-        elif op is rc.SUBPATTERN:
-            meet(*_analyse(arg[3]))
-        elif op is rc.BRANCH:
-            found = [_analyse(x) for x in arg[1]]
-            if all(s is not None for s, _ in found):
-                meet(set().union(*(s for s, _ in found)), True)
-            else:
-                meet(None, _join("or", [_join("and", [q] + ([_of_strings(s)] if s is not None else [])) for s, q in found]))
-        elif op in (rc.MAX_REPEAT, rc.MIN_REPEAT):
-            low, high, sub = arg
-            strings, query = _analyse(sub)
+    for kind, *value in nodes:
+        if kind == "char":
+            meet({value[0].lower()}, True)
+        elif kind == "any":
+            meet(None if value[0] is None else {c.lower() for c in value[0]}, True)
+        elif kind == "branch":
+            meet(*_either([_analyse(x) for x in value[0]]))
+        elif kind == "repeat":
+            low, high, sub = value
+            strings, query = _analyse([sub])
             if (low, high) == (0, 1):
                 meet(None if strings is None else strings | {""}, True)
             elif low == high == 1:
                 meet(strings, query)
             else:
                 meet(None, query if low else True)
-        elif op is not rc.AT:
-            meet(None, True)
     if exact is None:
         return None, _join("and", [*must, _of_strings(live)])
     return live, _join("and", must)
@@ -124,7 +199,7 @@ def _analyse(nodes) -> tuple[set[str] | None, Query]:
 
 def trigram_query(pattern: str) -> Query:
     """What a text must contain, in lower case, for the pattern to match; True if that is unknown."""
-    strings, query = _analyse(rp.parse(pattern))
+    strings, query = _either([_analyse(x) for x in parsed(pattern)])
     return query if strings is None else _join("and", [query, _of_strings(strings)])
 
 
@@ -187,8 +262,10 @@ def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rules
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
     wanted = sorted(set().union(*(trigrams(q) for q in indexed.values())))
-    able = candidates(postings(docs, wanted, "doc_id", "text"), indexed, wanted).withColumnRenamed("doc_id", "able_id")
-    rows = docs.join(able, F.col("doc_id") == F.col("able_id"), "left")
+    able, _ = shared.written(candidates(postings(docs, wanted, "doc_id", "text"), indexed, wanted).withColumnRenamed("doc_id", "able_id"), "candidates")
+    # A bounded number of ids is broadcast, so that the texts stay where they are; more are joined by a shuffle.
+    few = able.count() <= BROADCAST_IDS
+    rows = docs.join(F.broadcast(able) if few else able.hint("merge"), F.col("doc_id") == F.col("able_id"), "left")
     spans = []
     for n, rule in enumerate(rules):
         # Where no trigram is mandatory, a search for the regex comes before the slower extraction.

@@ -7,35 +7,22 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-from tidemark.storage import fresh, remove
+from tidemark.storage import fresh, remove, shuffles_removed, written
 
 
 __all__ = ["bounded_batches", "fresh", "mapped", "publish", "release", "remove", "shuffles_removed", "written"]
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of rows that go to a Python worker at once.
 BATCH = 8 << 20
 
 
-@contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a query that runs here go when it ends, and not when the driver happens to collect its garbage."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """From now on whole texts reach Python workers in batches of bounded bytes, for the whole session; a lower bound stays."""
     named = spark.conf.get(_BATCH, None)
@@ -50,14 +37,6 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder: its lineage is cut, and a lost executor loses nothing of it."""
-    path = fresh(df.sparkSession, kind)
-    with shuffles_removed(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
@@ -78,10 +57,10 @@ def mapped(folder_uri: str, name: str) -> np.ndarray:
     system, path = _open(folder_uri)
     if system.type_name == "local":
         size = os.path.getsize(f"{path}/{name}")
-        return np.memmap(f"{path}/{name}", np.uint8, "r") if size else np.zeros(0, np.uint8)
+        return np.asarray(np.memmap(f"{path}/{name}", np.uint8, "r")) if size else np.zeros(0, np.uint8)
     with tempfile.TemporaryFile() as local:
         with system.open_input_stream(f"{path}/{name}") as source:
             while chunk := source.read(1 << 22):
                 local.write(chunk)
         local.flush()
-        return np.memmap(local, np.uint8, "r") if local.tell() else np.zeros(0, np.uint8)
+        return np.asarray(np.memmap(local, np.uint8, "r")) if local.tell() else np.zeros(0, np.uint8)

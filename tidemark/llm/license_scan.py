@@ -1,66 +1,70 @@
 """License scans: word grams joined with template positions vote for offset diagonals.
 
-Every pair of neighbouring words of every document is joined, by hash and then word by
-word, with the positions of the license templates. A match of document word p with
-template word t votes for diagonal p - t: words of one quotation share a diagonal, and
-an inserted or missing word moves it a little. Votes are gathered by diagonal;
-neighbouring diagonals are merged; a merged span counts if enough of its template's
-grams voted. A short phrase stands at a diagonal if all of its grams voted there.
+Every three neighbouring words of every document (two for the shortest templates) are
+joined, by hash and then word by word, with the positions of the license templates. A match
+of document word p with template word t votes for diagonal p - t: words of one quotation
+share a diagonal, and an inserted or missing word moves it a little. Votes are gathered by
+diagonal; neighbouring diagonals are merged; a merged span counts if enough of its
+template's different grams voted. A name stands at a diagonal if all of its grams voted there.
 
-Templates are a list of fixed size in this module, so they are broadcast. Templates of
-`LONG` words or more also compare the third word of each gram, which keeps chance votes few.
+Templates are whole texts of any length, notices and names (license_texts). Their grams are
+broadcast while they are at most `BROADCAST_GRAMS`, and shuffled beyond.
 
 Only DataFrame expressions are used. Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after
 lower-casing; lower-casing never moves a word's bounds.
 
 Defined cases: a null or empty text has no words, no labels and score 0. Rows with the
 same id and the same text each give the same row; rows with the same id and other
-texts are told apart by a hash of the text. Other columns are not read.
+texts are told apart by a hash of the text. A template of one word is refused. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from tidemark.llm import license_texts
+
+#: Words from which on a template's grams have three words.
 LONG = 5
-#: Share of a template's grams that must have voted.
-COVERAGE = 0.7
+#: Share of a template's grams that must have voted; one changed word in ten takes 0.27.
+COVERAGE = 0.6
 #: Diagonals at most this far from the next belong together.
 NEAR = 3
+#: Grams of templates that may be broadcast.
+BROADCAST_GRAMS = 200_000
+
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @dataclass(frozen=True)
 class Template:
     label: str
-    words: str
+    text: str
+    exact: bool = False  # found only whole
     base: bool = False
 
+    @cached_property
+    def words(self) -> list[str]:
+        found = _WORD.findall(self.text.translate(_LOWER))
+        if len(found) < 2:
+            raise ValueError("a template has two words at least")
+        return found
+
     def grams(self) -> list[tuple[int, str, str, str | None]]:
-        w = self.words.split()
+        w = self.words
         n = 3 if len(w) >= LONG else 2
         return [(k, w[k], w[k + 1], w[k + 2] if n == 3 else None) for k in range(len(w) - n + 1)]
 
 
-# Public license phrases.
 TEMPLATES = (
-    Template("gpl", "gnu general public license", base=True),
-    Template("apache", "apache license", base=True),
-    Template("cc-by", "cc by", base=True),
-    Template("mit", "mit license", base=True),
-    Template("agpl", "gnu affero general public license"),
-    Template("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    Template("cc-by-nc", "cc by nc"),
-    Template("cc-by-sa", "cc by sa"),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    Template("lgpl", "gnu lesser general public license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain"),
+    *(Template(label, text, exact=True, base=True) for label, text in license_texts.BASE),
+    *(Template(label, text, exact=True) for label, text in license_texts.NAMES),
+    *(Template(label, text) for label, text in (*license_texts.NOTICES, *license_texts.TEXTS)),
 )
 
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -75,13 +79,14 @@ def _words(text: Column) -> Column:
 
 
 def template_grams(spark: SparkSession, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    rows = [(n, k, a, b, c, len(t.grams())) for n, t in enumerate(templates) for k, a, b, c in t.grams()]
-    known = spark.createDataFrame(rows, "template int, t int, a string, b string, c string, n_grams int")
-    return known.withColumn("gram", F.xxhash64("a", "b"))
+    """template, t, a, b, c, n_grams, exact and gram (the hash of a and b)."""
+    quoted = lambda x: "CAST(NULL AS STRING)" if x is None else f"'{x}'"  # noqa: E731  words have no quotes or backslashes
+    rows = ", ".join(f"({n}, {k}, '{a}', '{b}', {quoted(c)}, {len(t.grams())}, {str(t.exact).upper()})" for n, t in enumerate(templates) for k, a, b, c in t.grams())
+    return spark.sql(f"SELECT *, xxhash64(a, b) AS gram FROM VALUES {rows} AS known(template, t, a, b, c, n_grams, exact)")
 
 
 def votes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """doc_id, text hash, template, diagonal, and the bit set of template positions that voted for it."""
+    """doc_id, text hash, template, n_grams, exact, diagonal, and the template positions that voted for it."""
     lowered = F.lower(_text(text))
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(_text(text)).alias("text_hash"), _words(lowered).alias("w"))
     w = F.col("w")
@@ -89,26 +94,24 @@ def votes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", temp
     placed = rows.filter(F.size(w) > 1).select("doc_id", "text_hash", F.posexplode(grams).alias("p", "g")).select("doc_id", "text_hash", "p", F.col("g")["a"].alias("wa"), F.col("g")["b"].alias("wb"), F.col("g")["c"].alias("wc"))
     known = template_grams(documents.sparkSession, templates)
     same = (F.xxhash64("wa", "wb") == F.col("gram")) & (F.col("wa") == F.col("a")) & (F.col("wb") == F.col("b")) & (F.col("c").isNull() | (F.col("wc") == F.col("c")))
-    met = placed.join(F.broadcast(known), same)
-    return met.groupBy("doc_id", "text_hash", "template", "n_grams", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("bits"))
+    met = placed.join(F.broadcast(known) if sum(len(t.grams()) for t in templates) <= BROADCAST_GRAMS else known.hint("merge"), same)
+    return met.groupBy("doc_id", "text_hash", "template", "n_grams", "exact", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("voted"))
 
 
-def spans(voted: DataFrame, templates: tuple[Template, ...] = TEMPLATES, near: int = NEAR, coverage: float = COVERAGE) -> DataFrame:
-    """Verified spans: doc_id, text_hash, template, start (word), coverage. Phrases of the base must be whole."""
-    short = [n for n, t in enumerate(templates) if len(t.words.split()) < LONG]
-    whole = F.col("bits") == F.expr("shiftleft(1L, n_grams) - 1")
-    exact = voted.filter(F.col("template").isin(short) & whole).select("doc_id", "text_hash", "template", F.col("diagonal").alias("start"), F.lit(1.0).alias("coverage"))
-    one = W.partitionBy("doc_id", "text_hash", "template")
-    far = voted.filter(~F.col("template").isin(short)).withColumn("apart", (F.col("diagonal") - F.lag("diagonal").over(one.orderBy("diagonal")) > near).cast("int"))
-    merged = far.withColumn("run", F.sum(F.coalesce("apart", F.lit(0))).over(one.orderBy("diagonal")))
-    merged = merged.groupBy("doc_id", "text_hash", "template", "n_grams", "run").agg(F.bit_or("bits").alias("bits"), F.min("diagonal").alias("start"))
-    merged = merged.withColumn("coverage", F.bit_count("bits") / F.col("n_grams")).filter(F.col("coverage") >= coverage)
-    return exact.unionByName(merged.select("doc_id", "text_hash", "template", "start", "coverage"))
+def spans(voted: DataFrame, near: int = NEAR, coverage: float = COVERAGE) -> DataFrame:
+    """Verified spans: doc_id, text_hash, template, start (word), coverage."""
+    one = W.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
+    apart = (F.col("diagonal") - F.lag("diagonal").over(one) > F.when(F.col("exact"), 0).otherwise(near)).cast("int")
+    runs = voted.withColumn("apart", apart).withColumn("run", F.sum(F.coalesce("apart", F.lit(0))).over(one))
+    # As many positions as the run's votes, which are words of one text.
+    merged = runs.groupBy("doc_id", "text_hash", "template", "n_grams", "exact", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("voted")))).alias("n"), F.min("diagonal").alias("start"))
+    merged = merged.withColumn("coverage", F.col("n") / F.col("n_grams")).filter(F.col("coverage") >= F.when(F.col("exact"), 1.0).otherwise(coverage))
+    return merged.select("doc_id", "text_hash", "template", F.greatest("start", F.lit(0)).alias("start"), "coverage")
 
 
 def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """One row a document: words, places of base phrases, labels and score."""
-    found = spans(votes(documents, doc_id, text, templates), templates)
+    found = spans(votes(documents, doc_id, text, templates))
     label = F.element_at(F.lit([t.label for t in templates]), F.col("template") + 1)
     base = F.element_at(F.lit([t.base for t in templates]), F.col("template") + 1)
     found = found.withColumns({"label": label, "base": base}).groupBy("doc_id", "text_hash").agg(
@@ -127,27 +130,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grams_sql() -> str:
     quoted = lambda x: "NULL" if x is None else f"'{x}'"
-    rows = [f"({n}, '{t.label}', {str(t.base).upper()}, {str(len(t.words.split()) < LONG).upper()}, {len(t.grams())}, {k}, '{a}', '{b}', {quoted(c)})" for n, t in enumerate(TEMPLATES) for k, a, b, c in t.grams()]
+    rows = [f"({n}, '{t.label}', {str(t.base).upper()}, {str(t.exact).upper()}, {len(t.grams())}, {k}, '{a}', '{b}', {quoted(c)})" for n, t in enumerate(TEMPLATES) for k, a, b, c in t.grams()]
     return ", ".join(rows)
 
 
 ORACLE_SQL = rf"""
-WITH known(template, label, base, short, n_grams, t, a, b, c) AS (VALUES {_grams_sql()}),
+WITH known(template, label, base, exact, n_grams, t, a, b, c) AS (VALUES {_grams_sql()}),
 doc AS (
   SELECT row_number() OVER () AS row, doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS n_words,
     regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 gram AS (SELECT row, p - 1 AS p, w[p] AS wa, w[p + 1] AS wb, w[p + 2] AS wc FROM doc, unnest(range(1, len(w))) AS u(p)),
-vote AS (SELECT DISTINCT row, template, label, base, short, n_grams, p - t AS diagonal, t FROM gram JOIN known ON wa = a AND wb = b AND (c IS NULL OR c = wc)),
-whole AS (SELECT row, label, base, diagonal AS start, 1.0e0 AS coverage FROM vote WHERE short GROUP BY row, template, label, base, n_grams, diagonal HAVING count(*) = n_grams),
+vote AS (SELECT row, template, label, base, exact, n_grams, p - t AS diagonal, t FROM gram JOIN known ON wa = a AND wb = b AND (c IS NULL OR c = wc)),
 apart AS (
-  SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > {NEAR}, FALSE)::INT AS far
-  FROM (SELECT DISTINCT row, template, diagonal FROM vote WHERE NOT short)),
+  SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > CASE WHEN exact THEN 0 ELSE {NEAR} END, FALSE)::INT AS far
+  FROM (SELECT DISTINCT row, template, exact, diagonal FROM vote)),
 run AS (SELECT row, template, diagonal, sum(far) OVER (PARTITION BY row, template ORDER BY diagonal) AS run FROM apart),
-merged AS (
-  SELECT row, label, base, min(diagonal) AS start, count(DISTINCT t)::DOUBLE / n_grams AS coverage FROM vote JOIN run USING (row, template, diagonal)
-  WHERE NOT short GROUP BY row, template, label, base, n_grams, run HAVING count(DISTINCT t)::DOUBLE / n_grams >= {COVERAGE}),
-span AS (SELECT * FROM whole UNION ALL SELECT * FROM merged),
+span AS (
+  SELECT row, label, base, greatest(min(diagonal), 0) AS start, count(DISTINCT t)::DOUBLE / n_grams AS coverage FROM vote JOIN run USING (row, template, diagonal)
+  GROUP BY row, template, label, base, exact, n_grams, run HAVING count(DISTINCT t)::DOUBLE / n_grams >= CASE WHEN exact THEN 1 ELSE {COVERAGE} END),
 found AS (
   SELECT row, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
     array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(coverage) AS score

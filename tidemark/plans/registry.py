@@ -372,6 +372,12 @@ def clients_sink(spark, d):
     return spark.read.parquet(path).select(F.col("client_id").cast("long").alias("client_id"), "tx_id", "amount_paid")
 
 
+@query("SELECT concat('tx_id=', tx_id, ' from_account=', from_account, ' payment_format=', payment_format) AS line FROM a")
+def debug_dump(spark, d):
+    """Rows as lines to look at."""
+    return sinks.dump(L.ledger(spark, d).filter(P.in_dollars() & S.baseline.holds()).select("tx_id", "from_account", "payment_format"))
+
+
 def _report_sql(by: str = "", heads: str = "", joined: str = "") -> str:
     """Sections of the reports over the common expressions, or over those of clients."""
     c = "client_id, " if by else ""

@@ -29,6 +29,12 @@ def plain_small(c: Column) -> Column:
     return F.concat(F.when(c < 0, "-").otherwise(""), F.lit("0.000"), digits)
 
 
+def dump(rows: DataFrame) -> DataFrame:
+    """Every row as a line of names and values, to look at or to write as text; nulls are named."""
+    value = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null"))
+    return rows.select(F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), value(c)) for c in rows.columns]).alias("line"))
+
+
 def report(sections: dict[str, DataFrame], by: tuple[str, ...] = (), clients: DataFrame | None = None) -> DataFrame:
     """(section, part, line) of one report: a header, then the lines of each. With `by`, of a report for each of `clients`.
 

@@ -98,8 +98,35 @@ def test_fit_and_passed(spark):
     assert quality_rules.passed(docs.limit(0), rules).count() == 0
 
 
+def test_learned_verdicts_against_plain_python(spark):
+    """The shares that rules test, and the list's verdict, on every row."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdeFGH") for _ in range(rng.randint(1, 9)))
+    texts = ["".join(word() + rng.choice(["", "", "#", "!!", "?", "$ $"]) * (k % 4 == 3) + rng.choice([" ", " ", "\n", "\nsame line\n"]) for _ in range(rng.randint(8, 60))) for k in range(240)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 < 3)) for k in range(240)], "doc_id long, quality int")
+    rules = quality_rules.fit(docs, labels)
+    assert rules
+    want = {}
+    for k, t in enumerate(texts):
+        t = t or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        at = collections.defaultdict(list)
+        for i in range(len(w) - 4):
+            at[tuple(w[i : i + 5])].append(i)
+        repeated = len({j for ks in at.values() if len(ks) > 1 for i in ks for j in range(i, i + 5)})
+        chars = sum(map(len, w))
+        x = {
+            "symbol_share": len(re.findall(r"[#*$%&|<>]", t)) / max(1, chars), "upper_share": len(re.findall("[A-Z]", t)) / max(1, chars), "shout_share": len(re.findall("[!?]", t)) / max(1, len(w)),
+            "dup_line_share": (len(lines) - len(set(lines))) / max(1, len(lines)), "repeat_share": repeated / max(1, len(w)), "word_length": chars / max(1, len(w)),
+        }
+        number = next((n for n, rule in enumerate(rules) if all((x[c.feature] >= c.threshold) if c.above else (x[c.feature] <= c.threshold) for c in rule)), None)
+        want[k] = (number, len(w) >= 10 and 100 * repeated <= 20 * len(w) and number is None)
+    assert {r.doc_id: (r.rule, r.kept) for r in quality_rules.judge(docs, rules).collect()} == want
+
+
 def test_license_base(documents):
-    phrases = [(t.label, t.words.split()) for t in license_scan.TEMPLATES if t.base]
+    phrases = [(t.label, t.words) for t in license_scan.TEMPLATES if t.base]
     got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan.scan(documents).collect()), key=str)
     want = []
     for i, t in pairs(documents):
@@ -112,14 +139,35 @@ def test_license_base(documents):
 
 
 def test_license_spans_survive_small_changes(spark):
-    grant = next(t for t in license_scan.TEMPLATES if t.words.startswith("permission is hereby"))
-    w = grant.words.split()
+    w = next(t for t in license_scan.TEMPLATES if t.text.startswith("Permission is hereby")).words
     changed = " ".join(w[:8] + ["very"] + w[8:])
-    docs = spark.createDataFrame([(1, f"so {grant.words} end"), (2, changed), (3, " ".join(reversed(w)))], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {' '.join(w)} end"), (2, changed), (3, " ".join(reversed(w)))], "doc_id long, text string")
     got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs).collect()}
     assert got[1] == ("mit", 1.0) and got[2][0] == "mit" and 0.7 <= got[2][1] < 1 and got[3] == ("", 0.0)
 
 
+@pytest.mark.parametrize("broadcast", [license_scan.BROADCAST_GRAMS, 0])
+def test_long_templates(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(license_scan, "BROADCAST_GRAMS", broadcast)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(2000)]
+    changed = [w if k % 10 else "x" + w for k, w in enumerate(words)]
+    moved = [x for k, w in enumerate(words) for x in ([w, "more"] if k % 10 == 5 else [] if k % 10 == 9 else [w])]
+    rows = [(1, "intro " + " ".join(words)), (2, " ".join(changed)), (3, " ".join(moved)), (4, " ".join(words[:900])), (5, " ".join(sorted(words)))]
+    templates = (license_scan.Template("long", " ".join(words)), license_scan.Template("name", " ".join(words[3:9]), exact=True))
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates).collect()}
+    assert got[1] == ("long,name", 1.0) and got[2][0].startswith("long") and got[3][0].startswith("long") and got[4] == ("name", 1.0) and got[5] == ("", 0.0)
+
+
+def test_license_texts_find_themselves(spark):
+    rows = [(k, t.text, t.label) for k, t in enumerate(license_scan.TEMPLATES)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    for r in license_scan.scan(docs).collect():
+        assert rows[r.doc_id][2] in r.labels.split(",") and r.score == 1.0
+    with pytest.raises(ValueError):
+        license_scan.Template("x", "one").words
+
+
 SECRETS = [
     'password: "abcd1234"', "PassWD = x", "api_key=ABCDEFGH apikey: 12345678", "token: secret: abcdefghij", "AKIA" + "A1" * 6, "AKIA" + "B" * 11, "é" * 5 + "0123456789abcdef" * 2,
     "0123456789abcdef" * 2 + "g" + "a" * 31, "ghp_" + "a1B2" * 9, "-----BEGIN RSA PRIVATE KEY-----", "token=aaaaaaaa token=bbbbbbbb", "Token: '" + "ab" * 20 + "'", "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12, None, "", "tok en", "🙂 secret=" + "z" * 9,
@@ -133,7 +181,9 @@ def base_spans(t):
     return sorted(out + [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32])
 
 
-def test_secrets(spark):
+@pytest.mark.parametrize("broadcast", [secret_scan.BROADCAST_IDS, 0])
+def test_secrets(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(secret_scan, "BROADCAST_IDS", broadcast)
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(SECRETS)] + [(None, SECRETS[0], 1), (0, "none here", 1)], "doc_id long, text string, kinds int")
     for r in secret_scan.scan(docs).collect():
         assert [(s.start, s.number, s.kind, s.end) for s in r.found if s.number < 3] == base_spans(r.text)
@@ -141,7 +191,7 @@ def test_secrets(spark):
     assert {"github", "jwt", "private_key"} <= kinds
     clean = {(r.doc_id, len(r.found)): r.text for r in secret_scan.redacted(docs).collect()}
     assert clean[(10, 2)] == "[SECRET] [SECRET]" and clean[(11, 2)] == "[SECRET]'" and clean[(0, 0)] == "none here"
-    assert secret_scan.scan(docs.limit(0)).count() == 0
+    assert secret_scan.scan(docs.limit(0)).count() == 0 == secret_scan.redacted(docs.limit(0)).count()
 
 
 def test_trigram_queries_are_necessary():
@@ -164,16 +214,18 @@ def windows(text, size=10):
     return w, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
 
 
-@pytest.mark.parametrize("block", [1_000_000, 8])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("rows,bits", [(decontaminate.BROADCAST_ROWS, decontaminate.SIEVE_BITS), (0, 12)])
+def test_decontamination(spark, monkeypatch, rows, bits):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(decontaminate, "SIEVE_BITS", bits)
     rng = random.Random(3)
     item = lambda n: " ".join(rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) for _ in range(n))
     items = [(f"i{k}", item(n)) for k, n in enumerate([30, 10, 9, 3, 1, 12])] + [("i7", None), ("i8", "..."), ("i9", "Only ÄWORD"), ("i9", "again twice here")]
     texts = [None, "", item(9), items[0][1], "x " + items[1][1].upper() + " y", "only Äword", "only äword", item(300), LONG, "beta " + items[2][1] + items[3][1], items[5][1] + ". " + items[5][1]]
     docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)] + [(3, texts[3], 0), (None, texts[4], 0)], "doc_id long, text string, items int")
     bench = spark.createDataFrame(items, "item_id string, text string")
-    out = decontaminate.contaminated(docs, bench, block_words=block, keep=("items",))
-    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.kept["items"]) for r in out.collect()), key=str)
+    out = decontaminate.contaminated(docs, bench)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()), key=str)
     want = []
     for i, t in ((r.doc_id, r.text) for r in docs.collect()):
         w, _ = windows(t)
@@ -184,8 +236,10 @@ def test_decontamination(spark, block):
                     if tuple(w[k : k + len(win)]) == win:
                         hit |= set(range(k, k + len(win)))
                         names.add(name)
-        want.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit), 0))
+        want.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
     assert got == sorted(want, key=str)
+    clean = decontaminate.clean(docs, bench)
+    assert clean.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in clean.collect() if r.text) == sorted((str(r.doc_id), r.text) for r, bad in zip(docs.collect(), [x[5] for x in want]) if not bad and r.text)
     assert decontaminate.contaminated(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
@@ -209,6 +263,17 @@ def components(texts, percent=75):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_components_of_a_hub_and_a_chain(spark):
+    from tidemark.llm.components import components as found
+
+    rng = random.Random(5)
+    links = [(1000, k) for k in range(300)] + [(k, k + 1) for k in range(2000, 2200)] + [(5000, 5000), (7, 9)]
+    rng.shuffle(links)
+    got = {r.node: r.component for r in found(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    assert got == {k: 0 for k in [*range(1, 300), 1000]} | {k: 2000 for k in range(2001, 2201)}
+    assert found(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates(spark):
     rng = random.Random(11)
     fresh = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
@@ -242,6 +307,25 @@ def test_near_duplicates_residual_step(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()} == want
 
 
+def test_large_bands_are_not_copied(spark, monkeypatch):
+    """9,000 members of one band, far from each other but for a few: each is written once, and all pairs of blocks are compared."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2000)
+    rng, n, far = np.random.default_rng(2), 9000, 200
+    fine = rng.integers(0, 1 << 62, (n, near_dedup.FINE_WORDS))
+    near = [(int(a), int(b)) for a, b in rng.permutation(n)[: 2 * far].reshape(-1, 2)]
+    for a, b in near:
+        fine[b] = fine[a]
+    bands = rng.integers(0, 1 << 62, (n, near_dedup.BANDS))
+    bands[:, 3] = 77
+    t = pa.table({"band": pa.array(np.full(n, 77)), "id": pa.array(np.arange(n)), "component": pa.array(np.where(np.arange(n) % 3 == 0, 5, np.arange(n))), "major": pa.array(np.full(n, 5)), "n": pa.array(np.full(n, 100)), "common": pa.array(np.full(n, 100)), "fine": near_dedup._lists(fine), "bands": near_dedup._lists(bands)})
+    written = {}
+    kept = near_dedup.shared.written
+    monkeypatch.setattr(near_dedup.shared, "written", lambda df, kind: written.setdefault(kind, kept(df, kind)))
+    got = sorted((r.a, r.b) for r in near_dedup._met(spark.createDataFrame(t), 2000, 75).collect())
+    assert got == sorted({(min(p), max(p)) for p in near if p[0] % 3 or p[1] % 3})
+    assert written["members"][0].count() == n and written["block-list"][0].count() <= 6
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     long = " ".join(f"v{k}" for k in range(40))
     docs = spark.createDataFrame([(5, long), (5, "some other text of more than five words"), (7, long), (9, "some other text of more than five words"), (None, long)], "doc_id long, text string")
@@ -255,24 +339,23 @@ def test_line_dedup(spark):
     docs = spark.createDataFrame([(2, f"head\n{line.upper()}\ntail"), (1, f"{line}\nmid\n  {line}"), (3, None), (4, ""), (None, line), (5, "short\nshort"), (1, f"again\n{line}")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.text, [tuple(s) for s in r.removed]) for r in line_dedup.deduplicated(docs).collect()), key=str)
     n = len(line)
-    want = [(2, "head\ntail", [(1, 5, 5 + n)]), (1, f"{line}\nmid", [(2, n + 5, 2 * n + 7)]), (3, "", []), (4, "", []), (None, "", [(0, 0, n)]), (5, "short\nshort", []), (1, f"again\n{line}", [])]
+    want = [(2, "head\ntail", [(1, 5, 5 + n)]), (1, f"{line}\nmid", [(2, n + 5, 2 * n + 7)]), (3, "", []), (4, "", []), (None, "", [(0, 0, n)]), (5, "short", [(1, 6, 11)]), (1, f"again\n{line}", [])]
     assert got == sorted(want, key=str)
     assert line_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [1_000_000, 4])
-def test_decontaminate_items_without_id(spark, block):
+def test_decontaminate_items_without_id(spark):
     docs = spark.createDataFrame([(1, "x one two three y"), (2, "four five six"), (3, "clean")], "doc_id long, text string")
     for items, want in [([(None, "one two three"), ("a", "four five six"), (None, "four five six")], [(1, 3, [], True), (2, 3, ["a"], True), (3, 0, [], False)]), ([(None, "one two three")], [(1, 3, [], True), (2, 0, [], False), (3, 0, [], False)])]:
         bench = spark.createDataFrame(items, "item_id string, text string")
-        got = decontaminate.contaminated(docs, bench, block_words=block).collect()
+        got = decontaminate.contaminated(docs, bench).collect()
         assert sorted((r.doc_id, r.n_hit, r["items"], r.contaminated) for r in got) == want
         assert all(r.n_items == len(r["items"]) for r in got)
 
 
 def test_passages_keep_no_short_lines(spark):
     docs = spark.createDataFrame([(1, "all rights reserved.\nown one\n\n"), (2, "own two\nAll  rights reserved.\n\n"), (3, "short\nshort"), (4, None), (5, "")], "doc_id long, text string")
-    got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in line_dedup.without_passages(docs).collect()}
+    got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in line_dedup.deduplicated(docs).collect()}
     assert got == {1: ("all rights reserved.\nown one\n\n", []), 2: ("own two\n\n", [(1, 8, 29)]), 3: ("short", [(1, 6, 11)]), 4: ("", []), 5: ("", [])}
 
 
@@ -281,14 +364,25 @@ def test_passages_within_lines(spark):
     inner = "That one too. It has a longer sentence of some words. So it ends."
     rows = [(1, f"Some first words {inner[:13]}\n{inner[14:]} And 🙂 more"), (2, f"🙂 Before it. {inner[:13]} {inner[14:]} After it."), (3, "Alone. So it ends. Alone again."), (4, f"Own.\n{inner[14:]}\nOwn too.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in line_dedup.without_passages(docs).collect()}
+    got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in line_dedup.deduplicated(docs).collect()}
     assert got[1] == (rows[0][1], []) and got[3] == (rows[2][1], [])  # three words recur by chance
     start = rows[1][1].index("It has")
     assert got[2][0] == "🙂 Before it. That one too. After it."
     middle, end = rows[1][1].index("So it"), rows[1][1].index("After")
     assert got[2][1] == [(0, start, middle), (0, middle, end)]
     assert got[4][0] == "Own.\nOwn too."
-    assert line_dedup.without_passages(docs.limit(0)).count() == 0
+    # The kept copy has the passage too.
+    assert {r.doc_id: r.n_passage for r in line_dedup.deduplicated(docs).collect()} == {1: 11, 2: 11, 3: 3, 4: 11}
+    assert {r.doc_id for r in line_dedup.deduplicated(docs, passage_words=11).filter("repeated").collect()} == {1, 2, 4}
+
+
+def test_repeated_lines_of_a_very_long_text_with_clashing_columns(spark):
+    long = "\n".join(f"Line number {k % 700} of it. And {k % 700} more" for k in range(5000))
+    docs = spark.createDataFrame([(1, long, 1, "a"), (2, long, 2, "b"), (2, long, 3, "c"), (3, "\r\n.\x00 !\n", 4, "d")], "doc_id long, text string, rank int, units string")
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.repeated, len(r.text)) for r in line_dedup.deduplicated(docs).collect())
+    kept = len("\n".join(long.split("\n")[:700]))
+    assert got == [(1, 5000, 4300, True, kept), (2, 5000, 5000, True, 0), (2, 5000, 5000, True, 0), (3, 3, 0, False, 7)]
+    assert line_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("shard", [language_model.SHARD, 40])

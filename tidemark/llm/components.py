@@ -7,23 +7,32 @@ Each iteration is written to the shared folder, which cuts its lineage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import shared
 
 
+def _same(a: str, b: str) -> Column:
+    """a = b, in a form by which neither side is partitioned yet.
+
+    A side that was just aggregated by its key would be joined where it is, and Spark splits a partition
+    of many links of one node only if both sides are shuffled for the join.
+    """
+    return F.col(a).bitwiseXOR(F.lit(1)) == F.col(b).bitwiseXOR(F.lit(1))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked with the node's smallest neighbour (or itself)."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    near = both.filter("v > u").join(least, F.col("u") == F.col("c"))
+    near = both.filter("v > u").join(least, _same("u", "c"))
     return near.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked with the smallest of them."""
     least = links.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
-    near = links.join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = links.join(least, _same("u", "c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.union(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).filter("u > v").distinct()
 
 

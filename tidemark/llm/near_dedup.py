@@ -13,8 +13,8 @@ A text's set is its distinct shingles of five words. Documents with 100 * |A & B
    pairs far below the threshold. For each class the closest such pair is confirmed
    first; other pairs only where they still join different components.
 4. In bands whose members are yet in different components, members of one component
-   meet members of others, in blocks of bounded size; a pair is taken up in the first
-   band that it shares. Shingles that no other of these texts has bound a pair's
+   meet members of others; a band of more than a block is written in blocks, whose pairs
+   are read, so a member is never copied. A pair is taken up in the first band that it shares. Shingles that no other of these texts has bound a pair's
    similarity from above, and a sketch of 1024 samples estimates it finely; what passes
    both is confirmed. A band of copies that step 3 has joined is never paired.
 5. Confirmation compares the whole shingle sets, recomputed from the texts of the
@@ -33,6 +33,7 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm import shared, textbuf as tb
 from tidemark.llm.components import components
+from tidemark.storage import small
 
 SHINGLE = 5
 BANDS, ROWS = 24, 3
@@ -48,8 +50,8 @@ SKETCH_WORDS = 8
 MOST_BITS = 72
 #: The finer sketch of step 4; at similarity 0.75 it differs in 481 of 8192 bits on average (deviation 25).
 FINE_SAMPLES, FINE_WORDS, FINE_BITS = 1024, 128, 620
-#: Members of a block in step 4.
-BLOCK = 256
+#: Members of a block in step 4, of about 1.3 kB each.
+BLOCK = 4096
 #: As many ids may be broadcast; beyond that the same join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -197,72 +199,124 @@ def _with_component(rows: DataFrame, comps: DataFrame, node: str, name: str) ->
     return rows.join(c, F.col(node) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", F.col(node))).drop("_n", "_c")
 
 
-def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Members (band, id, component, major, n, common, fine, bands) of bands, dealt to blocks that meet.
+@dataclass
+class Block:
+    """Members of one band and kind."""
+
+    id: np.ndarray
+    component: np.ndarray
+    n: np.ndarray
+    common: np.ndarray
+    fine: np.ndarray
+    bands: np.ndarray
+
+    @classmethod
+    def of(cls, t: pa.Table) -> Block:
+        wide = lambda name: t[name].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(t), -1)
+        return cls(*(t[c].to_numpy() for c in ("id", "component", "n", "common")), wide("fine"), wide("bands"))
+
+    def publish(self, folder: str, name: str) -> None:
+        shared.publish(folder, name, np.array([len(self.id)]), self.id, self.component, self.n, self.common, self.fine, self.bands)
+
+    @classmethod
+    def read(cls, folder: str, name: str) -> Block:
+        raw = shared.mapped(folder, name).view(np.int64)
+        k = int(raw[0])
+        ids, component, n, common = raw[1 : 1 + 4 * k].reshape(4, k)
+        fine, bands = np.split(raw[1 + 4 * k :].view(np.uint64), [FINE_WORDS * k])
+        return cls(ids, component, n, common, fine.reshape(k, FINE_WORDS), bands.reshape(k, BANDS))
 
-    Each block of members of the band's major component meets all others; each pair of blocks of the others
-    meets once. A block holds `block` members on average.
-    """
-    rows = rows.withColumn("major", F.col("component") == F.col("major"))
-    size = rows.groupBy("band").agg(F.ceil(F.count(F.when(F.col("major"), 1)) / block).cast("int").alias("n_major"), F.ceil(F.count(F.when(~F.col("major"), 1)) / block).cast("int").alias("n_minor"))
-    rows = rows.join(size.filter("n_minor > 0"), "band")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("major"), F.col("n_major")).otherwise(F.col("n_minor"))).cast("int"))
-    spot = lambda kind, i, j: F.struct(kind.alias("part"), i.alias("block"), j.alias("other"))
-    zero = F.lit(0)
-    upto = lambda n: F.slice(F.sequence(zero, F.greatest(F.col(n), F.lit(1)) - 1), 1, F.col(n))
-    against = F.transform(upto("n_major"), lambda k: spot(zero, k, zero))
-    among = F.transform(upto("n_minor"), lambda k: spot(F.lit(1), F.least(k, F.col("mine")), F.greatest(k, F.col("mine"))))
-    places = F.when(F.col("major"), F.array(spot(zero, F.col("mine"), zero))).otherwise(F.concat(against, among))
-    return rows.withColumn("p", F.explode(places)).select("band", F.col("p.part").cast("long").alias("part"), F.col("p.block").alias("block"), F.col("p.other").alias("other"), "id", "component", "major", "n", "common", "fine", "bands")
-
-
-def _meet(batches: Iterator[pa.RecordBatch], most_bits: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows of _blocks in order of (band, part, block, other) -> pairs whose sketches are near enough.
+
+def _compared(left: Block, right: Block, band: int, same: bool, most_bits: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a member of `left` and one of `right` in other components whose sketches are near enough; each pair once if the two are the same.
 
     A pair's intersection is at most the smaller count of common shingles, which bounds its similarity.
     """
-    key_names = ["band", "part", "block", "other"]
-
-    def pairs(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-        key = np.stack([t[n].to_numpy().astype(np.int64) for n in key_names], axis=1)
-        edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
-        ids, comp, major = t["id"].to_numpy(), t["component"].to_numpy(), t["major"].to_numpy(zero_copy_only=False)
-        n, common = t["n"].to_numpy(), t["common"].to_numpy()
-        sketch, bands = (t[name].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1) for name in ("fine", "bands"))
-        here = key[:, 0].view(np.uint64)
-        out = []
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            across = key[a, 1] == 0
-            rows = np.arange(a, b)
-            left = rows[~major[a:b]] if across else rows
-            right = rows[major[a:b]] if across else rows
-            for k in left.tolist():
-                both = np.minimum(common[right], common[k])
-                near = right[(comp[right] != comp[k]) & (100 * both >= percent * (n[right] + n[k] - both))]
-                near = near[np.bitwise_count(sketch[near] ^ sketch[k]).sum(axis=1) <= most_bits]
-                same = bands[near] == bands[k]
-                near = near[bands[k][np.argmax(same, axis=1)] == here[k]]  # the first band that the two share
-                if not across:
-                    near = near[ids[near] > ids[k]]
-                if len(near):
-                    out.append((np.minimum(ids[near], ids[k]), np.maximum(ids[near], ids[k])))
-        return out
-
-    held: pa.Table | None = None
+    here = np.array([band], np.int64).view(np.uint64)[0]
+    # A sixteenth of the sketch rules out most pairs; at similarity 0.75 it differs in 30 bits on average (deviation 5.3).
+    begin = np.ascontiguousarray(right.fine[:, :SKETCH_WORDS])
+    for k in range(len(left.id)):
+        both = np.minimum(right.common, left.common[k])
+        near = np.flatnonzero((right.component != left.component[k]) & (100 * both >= percent * (right.n + left.n[k] - both)))
+        if same:
+            near = near[right.id[near] > left.id[k]]
+        near = near[np.bitwise_count(begin[near] ^ left.fine[k, :SKETCH_WORDS]).sum(axis=1) <= MOST_BITS]
+        near = near[np.bitwise_count(right.fine[near] ^ left.fine[k]).sum(axis=1) <= most_bits]
+        shared_bands = right.bands[near] == left.bands[k]
+        near = near[left.bands[k][np.argmax(shared_bands, axis=1)] == here]  # the first band that the two share
+        if len(near):
+            a = np.full(len(near), left.id[k])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, right.id[near])), pa.array(np.maximum(a, right.id[near]))], names=["a", "b"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows with equal key, from rows in order of it."""
+    held: list[pa.RecordBatch] = []
+    current = None
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = t if held is None else pa.concat_tables([held, t])
-        last = [t[n][-1].as_py() for n in key_names]
-        key = np.stack([t[n].to_numpy().astype(np.int64) for n in key_names], axis=1)
-        other = np.flatnonzero((key != np.array(last)).any(axis=1))
-        cut = int(other[-1]) + 1 if len(other) else 0
-        held = t.slice(cut)
-        if cut:
-            for a, b in pairs(t.slice(0, cut)):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-    if held is not None and len(held):
-        for a, b in pairs(held):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        keys = list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in key)))
+        edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a == b:
+                continue
+            if held and keys[a] != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
+def _met(rows: DataFrame, block: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (band, id, component, major, n, common, fine, bands) of a band to be confirmed.
+
+    Members of the band's major component meet all others, and these each other. Bands of at most `block`
+    members of either kind are compared where they are. Those of larger ones are written once, in blocks of
+    about as many, and pairs of blocks are read: a member is never copied.
+    """
+    spark = rows.sparkSession
+    rows, _ = shared.written(rows.withColumn("major", F.col("component") == F.col("major")), "members")
+    sizes = rows.groupBy("band").agg(*[F.ceil(F.count(F.when(c, 1)) / block).cast("int").alias(name) for c, name in ((F.col("major"), "n_major"), (~F.col("major"), "n_minor"))]).filter("n_minor > 0")
+    sizes, _ = shared.written(sizes, "sizes")
+    rows = rows.join(small(sizes), "band")
+    one = (F.col("n_major") <= 1) & (F.col("n_minor") <= 1)
+
+    def compare_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (band,), t in _groups(batches, ["band"]):
+            major = t["major"].to_numpy()
+            minor = Block.of(t.filter(pa.array(~major)))
+            if major.any():
+                yield from _compared(minor, Block.of(t.filter(pa.array(major))), band, False, FINE_BITS, percent)
+            yield from _compared(minor, minor, band, True, FINE_BITS, percent)
+
+    near = rows.filter(one).repartition("band").sortWithinPartitions("band").mapInArrow(compare_here, "a long, b long")
+    if sizes.filter(~one).isEmpty():
+        return near.distinct()
+
+    folder = shared.fresh(spark, "blocks")
+    name = lambda band, major, mine: f"{band & 0xFFFFFFFFFFFFFFFF:016x}-{int(major)}-{mine}"
+    key = ["band", "major", "mine"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (band, major, mine), t in _groups(batches, key):
+            Block.of(t).publish(folder, name(band, major, mine))
+            yield pa.RecordBatch.from_arrays([pa.array([band], pa.int64()), pa.array([major], pa.bool_()), pa.array([mine], pa.int32())], names=key)
+        shared.release()
+
+    large = rows.filter(~one).withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("major"), F.col("n_major")).otherwise(F.col("n_minor"))).cast("int"))
+    blocks, _ = shared.written(large.repartition(*key).sortWithinPartitions(*key).mapInArrow(write, "band long, major boolean, mine int"), "block-list")
+    others = blocks.select(F.col("band").alias("of"), F.col("major").alias("to_major"), F.col("mine").alias("other"))
+    pairs = blocks.filter("NOT major").join(others, (F.col("band") == F.col("of")) & (F.col("to_major") | (F.col("mine") <= F.col("other")))).select("band", "mine", "to_major", "other")
+
+    def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, mine, to_major, other in zip(*(c.to_pylist() for c in batch.columns)):
+                same = not to_major and mine == other
+                yield from _compared(Block.read(folder, name(band, False, mine)), Block.read(folder, name(band, to_major, other)), band, same, FINE_BITS, percent)
+        shared.release()
+
+    return near.union(pairs.repartition("band", "mine", "to_major", "other").mapInArrow(compare_blocks, "a long, b long")).distinct()
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 75) -> DataFrame:
@@ -284,7 +338,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     # Each class meets the most central member of its band: the one whose bands have the most members in all.
     banded = first.select(F.explode("bands").alias("band"), "id")
-    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    # Tables on both sides, so that Spark splits the partition of a band that holds much of the corpus.
+    sizes, _ = shared.written(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     multi, _ = shared.written(banded.join(sizes, "band").select("band", "id", "n"), "bands")
     central = multi.groupBy("id").agg(F.sum("n").alias("weight"))
     weighed = multi.join(central, "id")
@@ -311,16 +366,14 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     # Bands of more than two members whose members are still apart.
     members = _with_component(multi.filter("n > 2").select("band", "id"), comps, "id", "component")
-    split = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
+    split, _ = shared.written(members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band"), "split")
     members, _ = shared.written(members.join(split, "band", "left_semi"), "apart")
     if not members.isEmpty():
         table = _set_table(members.select("id").distinct(), docs, size)
         # |A & B| is at most the common shingles of A, and |A | B| at least |A|.
         able = _bounds(table).filter(F.col("common") * 100 >= percent * F.col("n"))
         rows = members.join(able, "id").join(first.select("id", "bands"), "id").join(leaders, "band")
-        dealt = _blocks(_with_component(rows, comps, "leader", "major"), BLOCK)
-        order = ["band", "part", "block", "other"]
-        met = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _meet(b, FINE_BITS, percent), "a long, b long").distinct()
+        met = _met(_with_component(rows, comps, "leader", "major"), BLOCK, percent)
         tried = near.select(F.col("a").alias("xa"), F.col("b").alias("xb")).distinct()
         met, _ = shared.written(met.join(tried, (F.col("a") == F.col("xa")) & (F.col("b") == F.col("xb")), "left_anti"), "met")
         if not met.isEmpty():

@@ -187,27 +187,32 @@ def _hash(parts: list[str]) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "replace"))
 
 
-def measured(page: Node) -> Node:
-    """Hashes each element with all that is below it, with and without its text, and counts its characters."""
+def measured(page: Node, hashed: bool = True) -> Node:
+    """Counts each element's characters, and hashes it with all that is below it, with and without its text."""
     for n, leaving in _walk(page):
         if not leaving:
             continue
-        exact, shell, size, linked = [n.tag], [n.tag, " ".join(sorted(n.found().get("class", "").split())), n.found().get("id", "")], 0, 0
+        exact, shell, size, linked = [n.tag], [n.tag], 0, 0
+        if hashed and n.attributes:
+            shell += [" ".join(sorted(n.found().get("class", "").split())), n.found().get("id", "")]
         for c in n.children:
             if isinstance(c, Node):
-                exact.append(f"<{c.digest:x}>")
-                if shell[-1] != f"<{c.shell:x}>":  # as many like ones as there may be
-                    shell.append(f"<{c.shell:x}>")
+                if hashed:
+                    exact.append(f"<{c.digest:x}>")
+                    if shell[-1] != f"<{c.shell:x}>":  # as many like ones as there may be
+                        shell.append(f"<{c.shell:x}>")
                 n.holds |= c.holds or c.tag in ("article", "main")
                 if c.tag not in RAW:
                     size += c.size
                     linked += c.linked
             else:
                 words = c.split()
-                exact.append(" ".join(words))
+                if hashed:
+                    exact.append(" ".join(words))
                 size += sum(map(len, words))
         n.size, n.linked = size, size if n.tag == "a" else linked
-        n.digest, n.shell = _hash(exact), _hash(["shell", *shell])
+        if hashed:
+            n.digest, n.shell = _hash(exact), _hash(["shell", *shell])
     return page
 
 
@@ -228,9 +233,9 @@ def candidates(page: Node) -> dict[int, int]:
     return dict(out)
 
 
-def without(page: Node, templates) -> Node:
-    """The page with the subtrees whose hash `templates` has replaced by the end of a block."""
-    inside = 0
+def without(page: Node, templates) -> int:
+    """Replaces the subtrees of a measured page whose hash `templates` has by the end of a block; how many there were."""
+    inside = gone = 0
     for n, leaving in _walk(page):
         if n.tag in ("article", "main"):
             inside += -1 if leaving else 1
@@ -241,7 +246,8 @@ def without(page: Node, templates) -> Node:
                 exact = not (inside and c.tag in TEXT_BLOCKS) and c.digest & ~1 in templates
                 if exact or (not inside and c.tag not in TEXT_BLOCKS and c.size and c.linked >= MENU * c.size and c.shell | 1 in templates):
                     n.children[k] = Node("hr")
-    return page
+                    gone += 1
+    return gone
 
 
 def contents(page: Node) -> list[Node]:
@@ -372,9 +378,11 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         for batch in batches:
             texts = []
             for host, source, own in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                page = measured(parse(source or ""))
                 held = _Held(host, keys.value if keys is not None else np.sort(np.array(own or (), np.int64)))
-                texts.append(main_text(measured(without(page, held)) if len(held.keys) else page))
+                page = measured(parse(source or ""), hashed=len(held.keys) > 0)
+                if len(held.keys) and without(page, held):
+                    measured(page, hashed=False)
+                texts.append(main_text(page))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
         shared.release()
 

@@ -91,7 +91,8 @@ def votes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", temp
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(_text(text)).alias("text_hash"), _words(lowered).alias("w"))
     w = F.col("w")
     grams = F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("b"), F.slice(w, 3, F.greatest(F.size(w), F.lit(1))).alias("c"))
-    placed = rows.filter(F.size(w) > 1).select("doc_id", "text_hash", F.posexplode(grams).alias("p", "g")).select("doc_id", "text_hash", "p", F.col("g")["a"].alias("wa"), F.col("g")["b"].alias("wb"), F.col("g")["c"].alias("wc"))
+    # A filter by the number of words would be pushed below the split and make the words twice; of one word there is no second one to join.
+    placed = rows.select("doc_id", "text_hash", F.posexplode(grams).alias("p", "g")).select("doc_id", "text_hash", "p", F.col("g")["a"].alias("wa"), F.col("g")["b"].alias("wb"), F.col("g")["c"].alias("wc"))
     known = template_grams(documents.sparkSession, templates)
     same = (F.xxhash64("wa", "wb") == F.col("gram")) & (F.col("wa") == F.col("a")) & (F.col("wb") == F.col("b")) & (F.col("c").isNull() | (F.col("wc") == F.col("c")))
     met = placed.join(F.broadcast(known) if sum(len(t.grams()) for t in templates) <= BROADCAST_GRAMS else known.hint("merge"), same)

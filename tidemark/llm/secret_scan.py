@@ -223,7 +223,8 @@ def _holds(query: Query, bits: Column, number: dict[str, int]) -> Column:
 
 def postings(documents: DataFrame, wanted: list[str], doc_id: str, text: str) -> DataFrame:
     """(trigram number, doc_id) for each wanted trigram that a document has."""
-    found = documents.select(F.col(doc_id).alias("doc_id"), F.lower(text).alias("t")).filter(F.col("doc_id").isNotNull())
+    # The explode of one text is a fence: without it the text is lower-cased again for each trigram.
+    found = documents.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(F.array(F.lower(text))).alias("t"))
     has = F.array_compact(F.array(*[F.when(F.contains("t", F.lit(g)), n) for n, g in enumerate(wanted)]))
     return found.select("doc_id", has.alias("has")).select(F.explode("has").alias("trigram"), "doc_id")
 

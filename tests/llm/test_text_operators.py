@@ -152,7 +152,7 @@ def test_long_templates(spark, monkeypatch, broadcast):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(2000)]
     changed = [w if k % 10 else "x" + w for k, w in enumerate(words)]
-    moved = [x for k, w in enumerate(words) for x in ([w, "more"] if k % 10 == 5 else [] if k % 10 == 9 else [w])]
+    moved = [x for k, w in enumerate(words) for x in ([w, "more"] if k % 10 == 5 else [] if k % 100 == 99 else [w])]
     rows = [(1, "intro " + " ".join(words)), (2, " ".join(changed)), (3, " ".join(moved)), (4, " ".join(words[:900])), (5, " ".join(sorted(words)))]
     templates = (license_scan.Template("long", " ".join(words)), license_scan.Template("name", " ".join(words[3:9]), exact=True))
     got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates).collect()}

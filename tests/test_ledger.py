@@ -152,8 +152,10 @@ def test_float_text_is_as_in_reports(spark):
 
 
 def test_padding_never_cuts(spark):
-    df = spark.createDataFrame([("ab", "a very long name indeed")], "a string, b string")
-    assert df.select(sinks.padded(("a", 5), ("b", 3))).first()[0] == "ab   a very long name indeed"
+    from tidemark.plans import reports
+
+    df = spark.createDataFrame([("a bank with a very long number", "ab")], "bank string, account string")
+    assert reports.scatter_gather(df).first().line == "bank: a bank with a very long number account: ab"
 
 
 def test_sinks(spark, tmp_path):

@@ -8,34 +8,37 @@ from tidemark.sources.sinks import float_text
 
 Keys = tuple[str, ...]
 
+# The lines of each section. Values are filled with spaces to their width and never cut.
+LOW_VALUE = "origin: %-20s destination: %-20s amount: %s"
+BANK_MAX = "bank_id: %-20s account: %-20s bank_name: %-30s amount: %s"
+FAR_BELOW_AVERAGE = "bank_id: %-20s account: %-20s payment_format: %-20s amount: %s"
+SCATTER_GATHER = "bank: %-20s account: %s"
+SMALL_TRANSFERS = "count: %s"
 
-def _text(value: str | Column) -> Column:
-    return (F.col(value) if isinstance(value, str) else value).cast("string")
 
+def _lines(rows: DataFrame, by: Keys, pattern: str, *values: str | Column) -> DataFrame:
+    return rows.select(*by, F.format_string(pattern, *[(F.col(v) if isinstance(v, str) else v).cast("string") for v in values]).alias("line"))
 
-def _lines(rows: DataFrame, by: Keys, *fields: tuple[str, str | Column, int]) -> DataFrame:
-    """Labelled values side by side, each but the last filled with spaces to its width and never cut."""
-    pattern = " ".join(f"{label}: %-{width}s" if width else f"{label}: %s" for label, _, width in fields)
-    values = [_text(value) for _, value, _ in fields]
-    return rows.select(*by, F.format_string(pattern, *values).alias("line"))
+
+def _node(side: str) -> Column:
+    return F.concat_ws("-", F.col(f"{side}_bank").cast("string"), F.col(f"{side}_account"))
 
 
 def low_value(rows: DataFrame, by: Keys = ()) -> DataFrame:
-    node = lambda side: F.concat_ws("-", F.col(f"{side}_bank").cast("string"), F.col(f"{side}_account"))
-    return _lines(rows, by, ("origin", node("from"), 20), ("destination", node("to"), 20), ("amount", float_text("amount_paid"), 0))
+    return _lines(rows, by, LOW_VALUE, _node("from"), _node("to"), float_text("amount_paid"))
 
 
 def bank_max(rows: DataFrame, by: Keys = ()) -> DataFrame:
-    return _lines(rows, by, ("bank_id", "from_bank", 20), ("account", "from_account", 20), ("bank_name", "bank_name", 30), ("amount", float_text("amount_paid"), 0))
+    return _lines(rows, by, BANK_MAX, "from_bank", "from_account", "bank_name", float_text("amount_paid"))
 
 
 def far_below_average(rows: DataFrame, by: Keys = ()) -> DataFrame:
-    return _lines(rows, by, ("bank_id", "from_bank", 20), ("account", "from_account", 20), ("payment_format", "payment_format", 20), ("amount", float_text("amount_paid"), 0))
+    return _lines(rows, by, FAR_BELOW_AVERAGE, "from_bank", "from_account", "payment_format", float_text("amount_paid"))
 
 
 def scatter_gather(rows: DataFrame, by: Keys = ()) -> DataFrame:
-    return _lines(rows, by, ("bank", "bank", 20), ("account", "account", 0))
+    return _lines(rows, by, SCATTER_GATHER, "bank", "account")
 
 
 def small_transfers(rows: DataFrame, by: Keys = ()) -> DataFrame:
-    return _lines(rows, by, ("count", "n_transfers", 0))
+    return _lines(rows, by, SMALL_TRANSFERS, "n_transfers")

@@ -9,11 +9,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidemark import storage
 
 
-def padded(*parts: tuple[str | Column, int]) -> Column:
-    """Columns side by side, each filled with spaces to its width but never cut."""
-    return F.format_string("".join(f"%-{w}s" if w else "%s" for _, w in parts), *[c for c, _ in parts])
-
-
 def float_text(amount: str | Column) -> Column:
     """A double as the shortest decimal with a fraction, without an exponent from 1e-4 up to 1e16."""
     c = F.col(amount) if isinstance(amount, str) else amount

@@ -42,8 +42,8 @@ from tidemark.llm import shared, textbuf as tb
 MARK = "▁"
 _MARK = MARK.encode()
 _SPACE = np.arange(256) != 0x20
-#: Bytes of remembered units, and remembered pairs of neighbours (9 bytes each), after which a worker starts anew.
-HELD, PAIRS = 16 << 20, 1_000_000
+#: Bytes of remembered units after which a worker starts anew, and places for verdicts on pairs of neighbours, twice 9 bytes each.
+HELD, PAIRS = 16 << 20, 600_000
 #: Bytes of texts that are handled together, and of units in one suffix array.
 GROUP, INDEXED = 1 << 20, 1 << 17
 #: Edges that are relaxed one by one rather than as an array.
@@ -123,7 +123,8 @@ class Encoder:
     def __init__(self, path: str):
         self.p = Pieces(path)
         self.forget()
-        self.pair_code, self.pair_good, self.pairs = np.zeros(0, np.int64), np.zeros(0, bool), {}
+        self.tables = [(np.full(PAIRS, -1), np.zeros(PAIRS, bool), shift) for shift in (0, 30)]
+        self.pairs: dict[int, bool] = {}
 
     def forget(self) -> None:
         self.hash, self.begin, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
@@ -138,31 +139,38 @@ class Encoder:
         code = left * self.p.n + right
         good = self.pairs.get(code)
         if good is None:
-            if len(self.pairs) >= PAIRS // 16:
+            if len(self.pairs) >= PAIRS // 10:
                 self.pairs.clear()
             good = self.pairs[code] = self._verdict(left, right)
         return good
 
     def _neighbours(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """_pair for arrays."""
+        """_pair for arrays. Verdicts stand in one of two places of a table of fixed size, and the latest takes the place of an older one."""
         code = left.astype(np.int64) * (self.p.n + 1) + right
-        free = (left == self.p.n) | (right == self.p.n)
-        at = np.searchsorted(self.pair_code, code)
-        known = np.zeros(len(code), bool)
-        inside = at < len(self.pair_code)
-        known[inside] = self.pair_code[at[inside]] == code[inside]
-        if not (known | free).all():
-            if len(self.pair_code) > PAIRS:
-                self.pair_code, self.pair_good, known = self.pair_code[:0], self.pair_good[:0], np.zeros(len(code), bool)
-            new = np.unique(code[~known & ~free])
-            good = np.array([self._verdict(a, b) for a, b in zip((new // (self.p.n + 1)).tolist(), (new % (self.p.n + 1)).tolist())])
-            codes, goods = np.concatenate([self.pair_code, new]), np.concatenate([self.pair_good, good])
-            order = np.argsort(codes, kind="stable")
-            self.pair_code, self.pair_good = codes[order], goods[order]
-            at = np.searchsorted(self.pair_code, code)
-        if not len(self.pair_code):
-            return free
-        return free | self.pair_good[np.minimum(at, len(self.pair_code) - 1)]
+        good = (left == self.p.n) | (right == self.p.n)
+        todo = np.flatnonzero(~good)
+        for table, verdicts, shift in self.tables:
+            here = self._place(code[todo], shift)
+            met = table[here] == code[todo]
+            good[todo[met]] = verdicts[here[met]]
+            todo = todo[~met]
+        if len(todo):
+            new, back = np.unique(code[todo], return_inverse=True)
+            found = np.array([self._verdict(a, b) for a, b in zip((new // (self.p.n + 1)).tolist(), (new % (self.p.n + 1)).tolist())])
+            good[todo] = found[back]
+            (one, of_one, shift), (two, of_two, other) = self.tables
+            at = self._place(new, shift)
+            free = one[at] < 0
+            one[at[free]], of_one[at[free]] = new[free], found[free]  # of two in one place the later one stays, in both arrays
+            late = one[at] != new
+            at = self._place(new[late], other)
+            two[at], of_two[at] = new[late], found[late]
+        return good
+
+    @staticmethod
+    def _place(code: np.ndarray, shift: int) -> np.ndarray:
+        h = tb.mix(code.astype(np.uint64))
+        return ((h >> np.uint64(shift)) % np.uint64(PAIRS)).astype(np.int64)
 
     def _edges(self, view: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index in starts, size, piece) of each piece at each of the places `starts`, from a suffix array over them.

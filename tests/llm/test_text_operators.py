@@ -164,6 +164,7 @@ def test_license_texts_find_themselves(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
     for r in license_scan.scan(docs).collect():
         assert rows[r.doc_id][2] in r.labels.split(",") and r.score == 1.0
+    assert {(r.labels, r.score) for r in license_scan.scan(docs, templates=()).collect()} == {("", 0.0)}
     with pytest.raises(ValueError):
         license_scan.Template("x", "one").words
 

@@ -82,7 +82,8 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...] = TEMPLA
     """template, t, a, b, c, n_grams, exact and gram (the hash of a and b)."""
     quoted = lambda x: "CAST(NULL AS STRING)" if x is None else f"'{x}'"  # noqa: E731  words have no quotes or backslashes
     rows = ", ".join(f"({n}, {k}, '{a}', '{b}', {quoted(c)}, {len(t.grams())}, {str(t.exact).upper()})" for n, t in enumerate(templates) for k, a, b, c in t.grams())
-    return spark.sql(f"SELECT *, xxhash64(a, b) AS gram FROM VALUES {rows} AS known(template, t, a, b, c, n_grams, exact)")
+    known = spark.sql(f"SELECT *, xxhash64(a, b) AS gram FROM VALUES {rows or "(0, 0, '', '', CAST(NULL AS STRING), 1, TRUE)"} AS known(template, t, a, b, c, n_grams, exact)")
+    return known if templates else known.limit(0)
 
 
 def votes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -113,8 +114,8 @@ def spans(voted: DataFrame, near: int = NEAR, coverage: float = COVERAGE) -> Dat
 def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """One row a document: words, places of base phrases, labels and score."""
     found = spans(votes(documents, doc_id, text, templates))
-    label = F.element_at(F.lit([t.label for t in templates]), F.col("template") + 1)
-    base = F.element_at(F.lit([t.base for t in templates]), F.col("template") + 1)
+    label = F.element_at(F.lit([t.label for t in templates] or [""]), F.col("template") + 1)
+    base = F.element_at(F.lit([t.base for t in templates] or [False]), F.col("template") + 1)
     found = found.withColumns({"label": label, "base": base}).groupBy("doc_id", "text_hash").agg(
         F.count(F.when(F.col("base"), 1)).alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).cast("long").alias("first_word"), F.max(F.when(F.col("base"), F.col("start"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("coverage").alias("score"),

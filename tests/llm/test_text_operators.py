@@ -386,6 +386,21 @@ def test_repeated_lines_of_a_very_long_text_with_clashing_columns(spark):
     assert line_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_texts_that_occur_twice(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"t{rng.randrange(40)}" for _ in range(30))
+    twice, texts = text(), [text() for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate([twice, twice, *texts, ""])), "doc_id long, text string")
+    grams = collections.Counter()
+    for t in [twice, twice, *texts]:
+        w = [0, *t.split(), None]
+        grams.update(zip(w, w[1:], w[2:]))
+    model = language_model.train(docs, order=3)
+    for r in language_model.scored(docs, model, keep=("text",)).collect():
+        w = [0, *r.text.split(), None]
+        assert r.n_again == sum(grams[g] > 1 for g in zip(w, w[1:], w[2:]))
+
+
 @pytest.mark.parametrize("shard", [language_model.SHARD, 40])
 def test_language_model(documents, shard):
     docs = documents.select("doc_id", "text", language_model.held_out().alias("held_out"))

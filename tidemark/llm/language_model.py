@@ -424,13 +424,13 @@ class Reader:
             size = np.diff(np.append(first[slots], first[-1]))
         return order, count, sums, size
 
-    def scores(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known tokens, base score, model score) of each text."""
+    def scores(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(known tokens, tokens whose gram of full order occurs twice or more, base score, model score) of each text."""
         m = self.m
         distinct, back = np.unique(h, return_inverse=True)
         number, count, contexts = self.look_up(distinct)
         word, p = number[back], self._low(contexts)[back]
-        place = _place(first)
+        place, again = _place(first), np.zeros(len(h), np.int64)
         for level in range(2, m.order + 1):
             at = np.flatnonzero(place >= level - 2)
             context = _context(word, place, at, level, m.types)
@@ -442,9 +442,11 @@ class Reader:
             some, total = total > 0, np.maximum(total, 1)
             left = np.where(some, (d[1] * n1 + d[2] * n2 + d[3] * n3) / total, 1.0)  # of no context, all is left
             at = at[order]
+            if level == m.order:
+                again[at] = c > 1
             p[at] = np.maximum(c - d[np.minimum(c, 3)], 0) / np.repeat(total, size) + np.repeat(left, size) * p[at]
         base = np.log10((count[back] + 1) / (m.tokens + 1 * (m.types + 1)))
-        return np.add.reduceat((count[back] > 0).astype(np.int64), first[:-1]), np.add.reduceat(base, first[:-1]), np.add.reduceat(np.log10(p), first[:-1])
+        return tuple(np.add.reduceat(x, first[:-1]) for x in ((count[back] > 0).astype(np.int64), again, base, np.log10(p)))
 
 
 _READERS: dict[Model, Reader] = {}
@@ -684,19 +686,22 @@ def train(texts: DataFrame, text: str = "text", shard_size: int = SHARD, order:
 
 
 def scored(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: doc_id, the columns of `keep`, n_tokens, n_known, base_score, score, perplexity."""
-    rows = documents.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"), *keep)
-    names = ["doc_id", *keep, "n_tokens", "n_known", "base_score", "score"]
+    """One row a document: doc_id, the columns of `keep`, n_tokens, n_known, n_again, base_score, score, perplexity.
+
+    n_again counts tokens that training texts have twice or more behind the same words: nearly all of a text that occurs twice.
+    """
+    rows = documents.select(F.col(text).cast("string").alias("_scored"), F.col(doc_id).alias("doc_id"), *keep)
+    names = ["doc_id", *keep, "n_tokens", "n_known", "n_again", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = reader_of(model)
         for batch in batches:
             for lo, hi, h, first in _tokens(batch, 0):
-                known, base, score = reader.scores(h, first)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(1, 2 + len(keep))), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(score)], names=names)
+                known, again, base, score = reader.scores(h, first)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(1, 2 + len(keep))), pa.array(np.diff(first)), pa.array(known), pa.array(again), pa.array(base), pa.array(score)], names=names)
         shared.release()
 
-    schema = ", ".join([*(f"{c} {t}" for c, t in rows.select("doc_id", *keep).dtypes), "n_tokens long, n_known long, base_score double, score double"])
+    schema = ", ".join([*(f"{c} {t}" for c, t in rows.select("doc_id", *keep).dtypes), "n_tokens long, n_known long, n_again long, base_score double, score double"])
     return rows.mapInArrow(run, schema).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
@@ -708,4 +713,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", held_out().alias("held_out"))
     model = train(documents.filter("NOT held_out"), order=ORDER)
     rows = scored(documents, model, keep=("held_out",))
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity", "n_again", (F.col("n_again") / F.col("n_tokens")).alias("share_again"))

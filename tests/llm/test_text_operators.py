@@ -386,6 +386,33 @@ def test_repeated_lines_of_a_very_long_text_with_clashing_columns(spark):
     assert line_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_a_shard_of_grams_by_brute_force(tmp_path):
+    """Contexts of one word and of hundreds, counts of one and of thousands, numbers of two and of three bytes."""
+    rng = np.random.default_rng(3)
+    for types in (50_000, 3_000_000):
+        sizes = rng.choice([1, 1, 1, 2, 5, 9, 254, 255, 256, 700], 900)
+        keys = np.sort(rng.choice(1 << 40, len(sizes), replace=False)).astype(np.uint64)
+        words = [np.sort(rng.choice(types, k, replace=False)).astype(np.uint32) for k in sizes]
+        n = rng.choice([1, 1, 2, 3, 254, 255, 70_000], sizes.sum())
+        language_model.Grams.write(f"file://{tmp_path}", f"g{types}", np.repeat(keys, sizes), np.concatenate(words), n)
+        g = language_model.Grams(language_model.shared.mapped(f"file://{tmp_path}", f"g{types}"))
+        asked = np.sort(np.concatenate([keys[::3], keys[::7] + np.uint64(1)]))
+        place = g.find(asked)
+        assert (place >= 0).tolist() == np.isin(asked, keys).tolist()
+        place = place[place >= 0]
+        begin, end = g.bounds(place)
+        first = np.cumsum(sizes) - sizes
+        assert (begin == first[place]).all() and (end - begin == sizes[place]).all()
+        of = [n[first[k] : first[k] + sizes[k]] for k in place]
+        assert g.sums(place, begin, end).T.tolist() == [[x.sum(), (x == 1).sum(), (x == 2).sum(), (x >= 3).sum()] for x in of]
+        for there in (True, False):
+            wanted = np.array([rng.choice(words[k]) if there else types for k in place], np.uint32)
+            at = g.words.search(begin, end, wanted)
+            assert (at >= 0).all() == there == (at >= 0).any()
+            if there:
+                assert (np.concatenate(words)[at] == wanted).all() and (g.counts(at) == n[at]).all()
+
+
 def test_texts_that_occur_twice(spark):
     rng = random.Random(9)
     text = lambda: " ".join(f"t{rng.randrange(40)}" for _ in range(30))

@@ -152,11 +152,11 @@ def parse(html: str) -> Node:
             if k and (tag in ("body", "html") or k >= top(*_CONTENT)):
                 close(k)
             continue
-        if tag in BLOCKS:  # closes an open paragraph
-            k = top("p")
+        if tag in BLOCKS and places["p"]:  # closes an open paragraph
+            k = places["p"][-1]
             if k > top(*_SCOPE):
                 close(k)
-        if tag in CLOSES:
+        if tag in CLOSES and any(places.get(t) for t in CLOSES[tag][0]):
             gone, until = CLOSES[tag]
             edge = top(*until)
             cut = min((places[t][j] for t in gone if places.get(t) and (j := bisect_right(places[t], edge)) < len(places[t])), default=0)

@@ -435,6 +435,8 @@ class Reader:
             at = np.flatnonzero(place >= level - 2)
             context = _context(word, place, at, level, m.types)
             known = np.all([c >= 0 for c in context], axis=0)
+            if level > 2:  # a context that is no gram of the next lower order itself isn't there
+                known &= seen[at - 1]
             at, context = at[known], [c[known] for c in context]
             # An unknown word is in no context; no number is as large as its stand-in.
             order, c, (total, n1, n2, n3), size = self._found(level, context, np.where(word[at] >= 0, word[at], (1 << 32) - 1))
@@ -442,6 +444,8 @@ class Reader:
             some, total = total > 0, np.maximum(total, 1)
             left = np.where(some, (d[1] * n1 + d[2] * n2 + d[3] * n3) / total, 1.0)  # of no context, all is left
             at = at[order]
+            seen = np.zeros(len(h), bool)
+            seen[at] = c > 0
             if level == m.order:
                 again[at] = c > 1
             p[at] = np.maximum(c - d[np.minimum(c, 3)], 0) / np.repeat(total, size) + np.repeat(left, size) * p[at]
